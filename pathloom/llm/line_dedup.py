@@ -167,7 +167,7 @@ def pack_bitmap(positions: list[int]) -> bytes:
     """Compressed bitmap with a 0 for each of the positions; past its end all lines stay."""
     import numpy as np
 
-    keep = np.ones(max(positions) + 1, dtype=bool)
+    keep = np.ones(-(-(max(positions) + 1) // 8) * 8, dtype=bool)
     keep[positions] = False
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
@@ -178,8 +178,7 @@ def unpack_bitmap(bitmap: bytes | None, n_lines: int):
     keep = np.ones(n_lines, dtype=bool)
     if bitmap is not None:
         bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8)).astype(bool)[:n_lines]
-        bits_len = len(bits)
-        keep[:bits_len] = bits
+        keep[: len(bits)] = bits
     return keep
 
 
