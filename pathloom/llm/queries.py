@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, media, packing
+from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_packing": packing.op2_packing,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_bpe": bpe.op6_bpe,
+        "op8_licenses": licenses.op8_licenses,
         "op9_chat": chat.op9_chat,
         "op10_media": media.op10_media,
     }
