@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing
+from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_bpe": bpe.op6_bpe,
+        "op7_secrets": secrets.op7_secrets,
         "op8_licenses": licenses.op8_licenses,
         "op9_chat": chat.op9_chat,
         "op10_media": media.op10_media,
