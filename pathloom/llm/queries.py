@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing, secrets
+from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_packing": packing.op2_packing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_bpe": bpe.op6_bpe,
         "op7_secrets": secrets.op7_secrets,
