@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, licenses, line_dedup, media, packing, secrets, toxicity
+from . import bpe, chat, fingerprints, jaccard_join, licenses, line_dedup, media, packing, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_packing": packing.op2_packing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_bpe": bpe.op6_bpe,
         "op7_secrets": secrets.op7_secrets,
