@@ -53,6 +53,19 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *(docs[k] for k in keep))
 
 
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``whole``, with ``text`` put in and ``n_chars``, if there is one, counted anew."""
+
+    def of(name: str) -> Column:
+        if name == "text":
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            return F.length("text").cast(docs.schema[name].dataType).alias(name)
+        return F.col("whole").getField(name).alias(name)
+
+    return rows.select(*(of(c) for c in docs.columns))
+
+
 def emit(schema: pa.Schema, rows: Iterable[tuple], weigh) -> Iterator[pa.RecordBatch]:
     """Rows gathered into Arrow batches of about ``BATCH_BYTES`` by ``weigh(row)``."""
     held: list[tuple] = []

@@ -46,7 +46,7 @@ BRUTE, HUBS, DEPTH, BRANCH = 12, 8, 4, 4
 #: Minhash coordinates of a sketch, one byte each; how many must agree for a pair to be verified, and to leave with its hub.
 COORDS, AGREE, LEAVE = 64, 40, 52
 
-_NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
+_NODES = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _PAIRS_DDL = "a binary, b binary"
 
@@ -106,7 +106,7 @@ def sketch_of(tokens, odd, low) -> bytes:
 
 
 def nodes_of(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id, node, size, sketch, paths``; ``node`` is a 128-bit digest of the shingle set."""
+    """``doc_id, row_hash, node, size, sketch, paths``; ``node`` is a 128-bit digest of the shingle set."""
     runs = runs_for(recall)
 
     def run(batches):
@@ -117,20 +117,20 @@ def nodes_of(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         def rows():
             for batch in batches:
                 for part in pieces(batch):
-                    for doc_id, tokens in zip(part["doc_id"].to_pylist(), shingle_sets(words, part), strict=True):
+                    for doc_id, row_hash, tokens in zip(part["doc_id"].to_pylist(), part["row_hash"].to_pylist(), shingle_sets(words, part), strict=True):
                         if not len(tokens):
-                            yield doc_id, None, 0, None, None
+                            yield doc_id, row_hash, None, 0, None, None
                             continue
                         below = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
                         mixed = tokens ^ (tokens >> np.uint64(31))
                         chosen = np.zeros(len(tokens), dtype=bool)
                         for o, b in zip(run_odd, run_low, strict=True):
                             chosen |= (mixed ^ b) * o < below
-                        yield doc_id, digest(tokens), len(tokens), sketch_of(tokens, odd, low), tokens[chosen].view(np.int64).tolist()
+                        yield doc_id, row_hash, digest(tokens), len(tokens), sketch_of(tokens, odd, low), tokens[chosen].view(np.int64).tolist()
 
         yield from emit(_NODES, rows(), lambda r: 200)
 
-    return texts(docs).mapInArrow(run, "doc_id long, node binary, size int, sketch binary, paths array<long>")
+    return texts(docs).withColumn("row_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, row_hash long, node binary, size int, sketch binary, paths array<long>")
 
 
 def _near(sizes, sketches, other_sizes, other_sketches, threshold):
@@ -296,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` for every row of ``docs``."""
+    """``doc_id, row_hash, class_id, n_links, n_copies`` for every row of ``docs``; ``row_hash`` is xxhash64 of the text."""
     nodes = checkpointed(nodes_of(docs, threshold, recall))
     reps = checkpointed(nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
     links = checkpointed(verified_links(docs, reps, checkpointed(candidate_pairs(reps, threshold)), threshold))
@@ -305,8 +305,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     known = reps.select("node", "doc_id", "n_copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     classes = known.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return nodes.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return nodes.select("doc_id", "row_hash", "node").join(classes, "node", "left").select("doc_id", "row_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("row_hash")

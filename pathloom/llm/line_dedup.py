@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, emit, pieces, table, text_of
+from .common import checkpointed, emit, pieces, table, text_of, with_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = "\t\n\x0b\x0c\r "
@@ -224,6 +225,25 @@ def apply_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", "row_hash", "keep_bitmap").mapInArrow(run, "doc_id long, row_hash long, n_lines long, n_dropped long, keep_bitmap binary, kept string")
 
 
+def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs``, all its columns, with the dropped lines cut out of ``text`` (and ``n_chars`` counted anew)."""
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+        def of(t, b):
+            if b is None:
+                return t
+            lines = t.split("\n")
+            return "\n".join(x for x, k in zip(lines, unpack_bitmap(b, len(lines)).tolist(), strict=True) if k)
+
+        return pd.Series([of(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
+
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    b = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("row_hash").alias("b_row"), "keep_bitmap")
+    both = rows.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("row_hash") == F.col("b_row")), "left")
+    return with_text(both.select("whole", kept("text", "keep_bitmap").alias("text")), docs)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(table(spark, sf_dir, "documents"))
     done = apply_bitmaps(rows, keep_bitmaps(rows))

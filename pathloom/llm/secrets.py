@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, with_text
 
 KEY = "A-Za-z0-9+/_\\-"
 CANDIDATE = rf"(?<![{KEY}])(?:AKIA[0-9A-Z]{{16}}|(?=[A-Za-z+/_\-]*+[0-9])[{KEY}]{{16,}}+)(?![{KEY}])"
@@ -166,15 +166,15 @@ def _kind(c: Column, left: Column) -> Column:
     return F.when(c.rlike("^(AKIA|ASIA)"), "access_key").when(left.rlike(r"(?i)(pass(word|wd)?|pwd)[^\s]{0,8}\s*[=:]\s*[\"']?$"), "password").when(left.rlike(r"(?i)(token|bearer)[^\s]{0,8}\s*[=:]?\s*[\"']?$"), "token").otherwise("key")
 
 
-def scan_secrets(docs: DataFrame, forest: list, *keep: str, min_score: float = MIN_SCORE) -> DataFrame:
-    """``doc_id, text, findings`` and the columns named in ``keep``.
+def scan_secrets(docs: DataFrame, forest: list, min_score: float = MIN_SCORE) -> DataFrame:
+    """``whole`` (a struct of all columns of ``docs``), ``doc_id, text, findings``.
 
     A finding has start and length (code points), kind, score, and whether it
     is a secret; together they are all the candidates of the text, in order.
     """
     source = F.coalesce(docs["source"].cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     none = F.array().cast("array<string>")
-    rows = docs.select(*(docs[k] for k in keep if k not in ("doc_id", "text")), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), source.alias("_source"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), source.alias("_source"))
     found = rows.withColumn("_found", F.coalesce(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), none))
     gaps = found.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", CANDIDATE)).otherwise(none))
     size = lambda a: F.aggregate(a, F.lit(0), lambda s, t: s + F.length(t))
@@ -199,6 +199,11 @@ def redact(scanned: DataFrame, to: str = "text") -> DataFrame:
     return scanned.withColumn(to, F.when(F.exists("findings", lambda f: f["secret"]), text).otherwise(F.col("text")))
 
 
+def redacted(docs: DataFrame, forest: list) -> DataFrame:
+    """``docs``, all its columns, with the secrets in ``text`` replaced."""
+    return with_text(redact(scan_secrets(docs, forest)).select("whole", "text"), docs)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = train_forest(findings_frame(spark, labelled_findings()))
     done = redact(scan_secrets(table(spark, sf_dir, "documents"), forest), "clean")
