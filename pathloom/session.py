@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -20,6 +20,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only a session without
+    that setting (a test on one machine) gets a temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (found or "file://" + tempfile.mkdtemp(prefix="pathloom-")).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package's code to the executors' Python workers, once for each application."""
     app = spark.sparkContext.applicationId

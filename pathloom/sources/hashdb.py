@@ -1,0 +1,366 @@
+"""The binary table format as a data source: header, keys, offsets, lengths, string arena.
+
+Reading plans ranges of entries; a task reads its part of the three arrays and
+the arena frames that its entries lie in.  Writing lays a table out in memory,
+as one file is one ordered layout, so it takes a single task; big tables belong
+into Parquet (``KeyedTable.write``).
+"""
+
+from __future__ import annotations
+
+import io
+import os
+import struct
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+
+from ..errors import BadMagic, ChecksumMismatch, DuplicateKey, KeyOutOfRange, Malformed, MalformedHeader, PathTooLong, UnsupportedVersion, VerifyError, ZeroFrameSize
+from ..meta import MAX_PATH_BYTES, Casing, HashKind, KeyWidth, TableMeta
+
+# Fixed values of the format (little-endian throughout).
+MAGIC, VERSION, HEADER_BYTES = b"HASHDB\0\0", 1, 80
+LAYOUT = struct.Struct("<8sHBBBB2xQQQQQQQ8x")
+COMPRESSED, CASELESS = 1, 2
+# Fixed values of the seekable Zstandard format.
+SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+MAX_FRAME = 1 << 30
+
+
+@dataclass
+class Header:
+    meta: TableMeta
+    compressed: bool
+    offset_width: int
+    entries: int
+    keys_at: int
+    offsets_at: int
+    arena_at: int
+    arena_bytes: int
+    stored_bytes: int
+    checksum: int
+
+    def encode(self) -> bytes:
+        flags = COMPRESSED * self.compressed | CASELESS * (self.meta.casing is Casing.INSENSITIVE)
+        return LAYOUT.pack(MAGIC, VERSION, self.meta.hash_kind, flags, self.meta.key_width, self.offset_width, self.entries, self.keys_at, self.offsets_at, self.arena_at, self.arena_bytes, self.stored_bytes, self.checksum)
+
+    @classmethod
+    def decode(cls, data: bytes) -> Header:
+        if len(data) < HEADER_BYTES:
+            raise MalformedHeader("shorter than a header")
+        magic, version, kind, flags, key_width, offset_width, *rest = LAYOUT.unpack(data[:HEADER_BYTES])
+        if magic != MAGIC:
+            raise BadMagic("no table file")
+        if version != VERSION:
+            raise UnsupportedVersion(version)
+        for ok, what in ((kind in set(HashKind), "hash kind"), (not flags & ~(COMPRESSED | CASELESS), "flags"), (key_width in (4, 8), "key width"), (offset_width in (4, 8), "offset width")):
+            if not ok:
+                raise MalformedHeader(f"unknown {what}")
+        casing = Casing.INSENSITIVE if flags & CASELESS else Casing.SENSITIVE
+        return cls(TableMeta(KeyWidth(key_width), HashKind(kind), casing), bool(flags & COMPRESSED), offset_width, *rest)
+
+    @property
+    def lengths_at(self) -> int:
+        return self.offsets_at + self.entries * self.offset_width
+
+    def sections(self) -> list[tuple[int, int]]:
+        return [(self.keys_at, self.entries * self.meta.key_width), (self.offsets_at, self.entries * self.offset_width), (self.lengths_at, self.entries * 2), (self.arena_at, self.stored_bytes)]
+
+
+def encode_table(pairs: list[tuple[int, str]], meta: TableMeta, frame_size: int | None = 16384, level: int = 3) -> bytes:
+    """The file of ``(unsigned key, path)`` pairs; ``frame_size`` None leaves the arena uncompressed."""
+    import numpy as np
+    import xxhash
+
+    rows = sorted(set(pairs))
+    for (a, _), (b, _) in zip(rows, rows[1:], strict=False):
+        if a == b:
+            raise DuplicateKey(a)
+    if meta.key_width is KeyWidth.U32:
+        for key, _ in rows:
+            if key > 0xFFFFFFFF:
+                raise KeyOutOfRange(key)
+    data = [p.encode() for _, p in rows]
+    place: dict[bytes, int] = {}
+    arena = bytearray()
+    for i in sorted(range(len(rows)), key=data.__getitem__):
+        if len(data[i]) > MAX_PATH_BYTES:
+            raise PathTooLong(rows[i][0], len(data[i]))
+        if data[i] not in place:
+            place[data[i]] = len(arena)
+            arena += data[i]
+    width = 4 if len(arena) <= 0xFFFFFFFF else 8
+    keys = np.array([k for k, _ in rows], dtype=np.uint64).astype(f"<u{int(meta.key_width)}").tobytes()
+    offsets = np.array([place[d] for d in data], dtype=np.uint64).astype(f"<u{width}").tobytes()
+    lengths = np.array([len(d) for d in data], dtype="<u2").tobytes()
+    if frame_size == 0:
+        raise ZeroFrameSize("frames must have a size")
+    stored = bytes(arena) if frame_size is None else seekable(bytes(arena), frame_size, level)
+    gap = -(HEADER_BYTES + len(keys)) % width
+    offsets_at = HEADER_BYTES + len(keys) + gap
+    checksum = xxhash.xxh3_64_intdigest(keys + offsets + lengths + stored)
+    head = Header(meta, frame_size is not None, width, len(rows), HEADER_BYTES, offsets_at, offsets_at + len(offsets) + len(lengths), len(arena), len(stored), checksum)
+    return head.encode() + keys + bytes(gap) + offsets + lengths + stored
+
+
+def seekable(data: bytes, frame_size: int, level: int) -> bytes:
+    """Zstandard frames of ``frame_size`` raw bytes each, and the table that finds them."""
+    import zstandard
+
+    packer, frames, sizes = zstandard.ZstdCompressor(level=level), [], []
+    for i in range(0, len(data), frame_size):
+        raw = data[i : i + frame_size]
+        frames.append(packer.compress(raw))
+        sizes.append((len(frames[-1]), len(raw)))
+    table = b"".join(struct.pack("<II", *s) for s in sizes) + struct.pack("<IBI", len(sizes), 0, SEEKABLE)
+    return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(table)) + table
+
+
+class TableFile:
+    """A table file behind any seekable stream; only what is asked for is read."""
+
+    def __init__(self, stream, size: int):
+        self.stream, self.size = stream, size
+        self.head = Header.decode(self._at(0, HEADER_BYTES))
+        h = self.head
+        if not h.compressed and h.arena_bytes != h.stored_bytes:
+            raise Malformed("sizes of a raw arena differ")
+        for start, n in h.sections():
+            if start + n > size:
+                raise Malformed("a section ends beyond the file")
+        self.frames: list[tuple[int, int, int, int]] = []  # raw start, raw size, stored start, stored size
+        self.held: tuple[int, bytes] = (-1, b"")
+        if h.compressed:
+            self._read_frames()
+
+    def _at(self, start: int, n: int) -> bytes:
+        self.stream.seek(start)
+        return self.stream.read(n)
+
+    def _read_frames(self) -> None:
+        h = self.head
+        end = h.arena_at + h.stored_bytes
+        if h.stored_bytes < 17:
+            raise Malformed("no seek table")
+        count, flags, mark = struct.unpack("<IBI", self._at(end - 9, 9))
+        entry = 12 if flags & 0x80 else 8
+        if mark != SEEKABLE or count * entry + 17 > h.stored_bytes:
+            raise Malformed("broken seek table")
+        table, raw, stored = self._at(end - 9 - count * entry, count * entry), 0, h.arena_at
+        for i in range(count):
+            packed, size = struct.unpack_from("<II", table, i * entry)
+            if size > MAX_FRAME:
+                raise Malformed("frame over 1 GiB")
+            self.frames.append((raw, size, stored, packed))
+            raw, stored = raw + size, stored + packed
+        if raw != h.arena_bytes:
+            raise Malformed("the frames' sizes are not the arena's")
+
+    def arrays(self, start: int, end: int):
+        """Keys, offsets and lengths of entries ``start`` to ``end``."""
+        import numpy as np
+
+        h, kw = self.head, int(self.head.meta.key_width)
+        read = lambda at, w, kind: np.frombuffer(self._at(at + start * w, (end - start) * w), dtype=kind)
+        return read(h.keys_at, kw, f"<u{kw}").astype(np.uint64), read(h.offsets_at, h.offset_width, f"<u{h.offset_width}").astype(np.int64), read(h.lengths_at, 2, "<u2").astype(np.int64)
+
+    def _frame(self, i: int) -> bytes:
+        if self.held[0] != i:
+            import zstandard
+
+            _, size, at, packed = self.frames[i]
+            self.held = (i, zstandard.ZstdDecompressor().decompress(self._at(at, packed), max_output_size=size))
+        return self.held[1]
+
+    def text(self, offset: int, length: int) -> bytes | None:
+        """An entry's bytes; None if they lie outside the arena or cannot be unpacked."""
+        from bisect import bisect_right
+
+        if offset < 0 or offset + length > self.head.arena_bytes:
+            return None
+        if not self.head.compressed:
+            return self._at(self.head.arena_at + offset, length)
+        if not length:
+            return b""
+        parts, i = [], bisect_right(self.frames, offset, key=lambda f: f[0]) - 1
+        try:
+            while length:
+                start = self.frames[i][0]
+                part = self._frame(i)[offset - start : offset - start + length]
+                if not part and self.frames[i][1]:
+                    return None
+                parts.append(part)
+                offset, length, i = offset + len(part), length - len(part), i + 1
+        except Exception:  # noqa: BLE001  a damaged frame is a miss; verify() tells
+            return None
+        return b"".join(parts)
+
+    def find(self, key: int) -> int | None:
+        """Entry of an unsigned key, by bisection of the stored keys."""
+        low, high, kw = 0, self.head.entries, int(self.head.meta.key_width)
+        while low < high:
+            mid = (low + high) // 2
+            found = int.from_bytes(self._at(self.head.keys_at + mid * kw, kw), "little")
+            if found == key:
+                return mid
+            low, high = (mid + 1, high) if found < key else (low, mid)
+        return None
+
+    def rows(self, start: int, end: int) -> Iterator[tuple[int, str]]:
+        """``(signed key, path)`` in arena order; damaged entries are left out, bad UTF-8 is replaced."""
+        import numpy as np
+
+        keys, offsets, lengths = self.arrays(start, end)
+        for i in np.argsort(offsets, kind="stable").tolist():
+            data = self.text(int(offsets[i]), int(lengths[i]))
+            if data is not None:
+                yield int(keys[i].view(np.int64)), data.decode("utf-8", "replace")
+
+    def verify(self) -> None:
+        import numpy as np
+        import xxhash
+
+        digest = xxhash.xxh3_64()
+        for at, n in self.head.sections():
+            digest.update(self._at(at, n))
+        if digest.intdigest() != self.head.checksum:
+            raise ChecksumMismatch("sections do not match the checksum")
+        keys, offsets, lengths = self.arrays(0, self.head.entries)
+        if len(keys) > 1 and not (keys[1:] > keys[:-1]).all():
+            raise VerifyError("keys do not ascend")
+        for i in np.argsort(offsets, kind="stable").tolist():
+            data = self.text(int(offsets[i]), int(lengths[i]))
+            try:
+                if data is None:
+                    raise VerifyError(f"entry {i} lies outside the arena")
+                data.decode()
+            except UnicodeDecodeError as e:
+                raise VerifyError(f"entry {i} is not UTF-8") from e
+
+
+def open_bytes(data: bytes) -> TableFile:
+    return TableFile(io.BytesIO(data), len(data))
+
+
+def open_file(path: str) -> TableFile:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+    return TableFile(system.open_input_file(inner), system.get_file_info(inner).size)
+
+
+_SCHEMA = pa.schema([("key", pa.int64()), ("path", pa.string())])
+
+
+class HashDbSource(DataSource):
+    """``format("hashdb")``. Options: ``path``; reading ``range_entries``; writing ``key_width, hash_kind, casing, frame_size, level``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "hashdb"
+
+    def schema(self) -> str:
+        return "key long, path string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return HashDbReader(self.options["path"], int(self.options.get("range_entries", 250_000)))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return HashDbWriter(dict(self.options))
+
+
+class EntryRange(InputPartition):
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+
+class HashDbReader(DataSourceReader):
+    def __init__(self, path: str, range_entries: int):
+        self.path, self.step, self.wanted = path, range_entries, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("key",) and self.wanted is None:
+                self.wanted = [f.value]
+            elif isinstance(f, In) and f.attribute == ("key",) and self.wanted is None:
+                self.wanted = list(f.value)
+            yield f  # Spark checks again, which costs nothing here
+
+    def partitions(self) -> list[EntryRange]:
+        table = open_file(self.path)
+        if self.wanted is not None:
+            at = sorted({i for k in self.wanted if k is not None and (i := table.find(k & 0xFFFFFFFFFFFFFFFF)) is not None})
+            return [EntryRange(i, i + 1) for i in at] or [EntryRange(0, 0)]
+        return [EntryRange(i, min(i + self.step, table.head.entries)) for i in range(0, table.head.entries, self.step)] or [EntryRange(0, 0)]
+
+    def read(self, partition: EntryRange) -> Iterator[pa.RecordBatch]:
+        table, rows = open_file(self.path), []
+        for row in table.rows(partition.start, partition.end):
+            rows.append(row)
+            if len(rows) == 20_000:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+    keys, paths = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(paths, type=pa.string())], schema=_SCHEMA)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, path: str | None):
+        self.path = path
+
+
+class HashDbWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.o = options
+
+    def _fs(self):
+        from pyarrow import fs
+
+        path = self.o["path"]
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        pairs = [(k & 0xFFFFFFFFFFFFFFFF, p) for b in batches for k, p in zip(b["key"].to_pylist(), b["path"].to_pylist(), strict=True)]
+        o = self.o
+        meta = TableMeta(KeyWidth(int(o.get("key_width", 8))), HashKind(int(o.get("hash_kind", 0))), Casing(int(o.get("casing", 1))))
+        frame = int(o.get("frame_size", 16384))
+        system, path = self._fs()
+        staged = f"{path}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(staged) as out:
+            out.write(encode_table(pairs, meta, None if frame < 0 else frame, int(o.get("level", 3))))
+        return Written(staged)
+
+    def commit(self, messages) -> None:
+        system, path = self._fs()
+        done = [m.path for m in messages if m and m.path]
+        if len(done) != 1:
+            for p in done:
+                system.delete_file(p)
+            raise ValueError("a table file is written by one task; coalesce(1) first")
+        system.move(done[0], path)
+
+    def abort(self, messages) -> None:
+        system, _ = self._fs()
+        for m in messages:
+            if m and m.path:
+                system.delete_file(m.path)
+
+
+def write_table_file(df: DataFrame, path: str, meta: TableMeta, frame_size: int | None = 16384, level: int = 3) -> None:
+    df.sparkSession.dataSource.register(HashDbSource)
+    options = {"key_width": int(meta.key_width), "hash_kind": int(meta.hash_kind), "casing": int(meta.casing), "frame_size": -1 if frame_size is None else frame_size, "level": level}
+    df.select("key", "path").repartition(1).write.format("hashdb").options(**options).mode("append").save(path)
+
+
+def read_table_file(spark, path: str) -> DataFrame:
+    spark.dataSource.register(HashDbSource)
+    return spark.read.format("hashdb").load(path)
