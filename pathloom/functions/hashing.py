@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..meta import Casing, HashKind, KeyWidth, TableMeta
 
@@ -32,19 +33,19 @@ def fnv1a32_bytes(values: pa.Array):
     return out
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _fnv1a32(path: pa.Array) -> pa.Array:
     return pa.array(fnv1a32_bytes(path.cast(pa.binary())), mask=path.is_null().to_numpy(zero_copy_only=False))
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _xxh3(path: pa.Array) -> pa.Array:
     import xxhash
 
     return pa.array([None if p is None else _signed(xxhash.xxh3_64_intdigest(p)) for p in path.cast(pa.binary()).to_pylist()], type=pa.int64())
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _xxh64(path: pa.Array) -> pa.Array:
     import xxhash
 
