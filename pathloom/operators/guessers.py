@@ -142,8 +142,7 @@ class CharacterSkin:
         same = F.forall("found", lambda t: fits(t) & (value(t) == value(F.get("found", F.lit(0)))))
         told = cut.withColumn("uniform", F.when(same, value(F.get("found", F.lit(0))).cast("long"))).withColumn("any_padded", F.exists("found", lambda t: fits(t) & (F.length(t) > F.length(value(t).cast("string")))))
         swept = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.most))).alias("n")).filter(~F.coalesce(F.col("n") == F.col("uniform"), F.lit(False)))
-        padded = lambda t: F.when(fits(t) & (F.length(t) > F.length(value(t).cast("string"))), F.length(t)).otherwise(1)
-        filled = F.transform("found", lambda t: S.padded(F.col("n"), padded(t)))
+        filled = F.transform("found", lambda t: S.padded(F.col("n"), F.length(t)))
         plain = F.transform("found", lambda t: F.col("n").cast("string"))
         forms = F.when(F.col("any_padded"), F.array(filled, plain)).otherwise(F.array(filled))
         woven = F.zip_with("gaps", "put", lambda g, p: F.concat(g, F.coalesce(p, F.lit(""))))
