@@ -257,7 +257,7 @@ _SCHEMA = pa.schema([("key", pa.int64()), ("path", pa.string())])
 
 
 class HashDbSource(DataSource):
-    """``format("hashdb")``. Options: ``path``; reading ``range_entries``; writing ``key_width, hash_kind, casing, frame_size, level``."""
+    """``format("hashdb")``. Options: ``path``; reading ``range_entries, pushdown``; writing ``key_width, hash_kind, casing, frame_size, level``."""
 
     @classmethod
     def name(cls) -> str:
@@ -267,7 +267,8 @@ class HashDbSource(DataSource):
         return "key long, path string"
 
     def reader(self, schema) -> DataSourceReader:
-        return HashDbReader(self.options["path"], int(self.options.get("range_entries", 250_000)))
+        kind = HashDbLookup if self.options.get("pushdown", "false").lower() == "true" else HashDbReader
+        return kind(self.options["path"], int(self.options.get("range_entries", 250_000)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return HashDbWriter(dict(self.options))
@@ -282,14 +283,6 @@ class HashDbReader(DataSourceReader):
     def __init__(self, path: str, range_entries: int):
         self.path, self.step, self.wanted = path, range_entries, None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("key",) and self.wanted is None:
-                self.wanted = [f.value]
-            elif isinstance(f, In) and f.attribute == ("key",) and self.wanted is None:
-                self.wanted = list(f.value)
-            yield f  # Spark checks again, which costs nothing here
-
     def partitions(self) -> list[EntryRange]:
         table = open_file(self.path)
         if self.wanted is not None:
@@ -308,6 +301,18 @@ class HashDbReader(DataSourceReader):
             yield _batch(rows)
 
 
+class HashDbLookup(HashDbReader):
+    """Finds keys that a filter names by bisection; for sessions that let Python sources see filters."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("key",) and self.wanted is None:
+                self.wanted = [f.value]
+            elif isinstance(f, In) and f.attribute == ("key",) and self.wanted is None:
+                self.wanted = list(f.value)
+            yield f  # Spark checks again, which costs nothing here
+
+
 def _batch(rows: list[tuple[int, str]]) -> pa.RecordBatch:
     keys, paths = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(paths, type=pa.string())], schema=_SCHEMA)
@@ -363,4 +368,5 @@ def write_table_file(df: DataFrame, path: str, meta: TableMeta, frame_size: int
 
 def read_table_file(spark, path: str) -> DataFrame:
     spark.dataSource.register(HashDbSource)
-    return spark.read.format("hashdb").load(path)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("hashdb").option("pushdown", pushdown).load(path)

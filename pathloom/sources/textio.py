@@ -41,7 +41,7 @@ def locate(spark: SparkSession, paths: str | list[str]) -> str | None:
     if bad is None:
         return None
     # lines of one file are numbered in the order of their places in it
-    whole = spark.read.option("wholetext", "true").text(bad).select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    whole = spark.read.text(bad, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
     first = whole.filter(F.trim(F.regexp_replace("value", "\r", "")) != "").filter(~(F.expr(f"{_AT} > 0") & is_hex(_token()))).agg(F.min("at").alias("at")).first()["at"]
     return f"{bad}:{first + 1}"
 
