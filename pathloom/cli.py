@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .errors import BuildError, OpenError, VerifyError
 from .meta import TABLES, LogicalTable
 from .operators.table import check, merge_lists, merge_report
-from .plans.catalog import Store, directory_fetch, http_fetch
+from .plans.catalog import Store, directory_fetch, http_fetch, release_url
 from .plans.hunt import Hunt, resolved_lines, targets
 from .session import local_session, ship
 from .sources.hashdb import open_file, write_table_file
@@ -160,6 +160,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--table", choices=list(TABLES))
     v.add_argument("--dir")
     v = verbs.add_parser("update")
+    v.add_argument("--repo")
     v.add_argument("--url")
     v.add_argument("--from-dir")
     v.add_argument("--dir")
@@ -208,9 +209,9 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> None:
             raise Refused("either --file or --table is needed")
         print(get(spark, args.hash, args.file, args.table, Store(args.dir)))
     elif args.verb == "update":
-        if not args.url and not args.from_dir:
-            raise Refused("either --url or --from-dir is needed")
-        report = Store(args.dir).update(directory_fetch(args.from_dir) if args.from_dir else http_fetch(args.url), args.force)
+        if not (args.repo or args.url or args.from_dir):
+            raise Refused("one of --repo, --url and --from-dir is needed")
+        report = Store(args.dir).update(directory_fetch(args.from_dir) if args.from_dir else http_fetch(args.url or release_url(args.repo)), args.force)
         print("another update runs" if report.locked else f"installed: {', '.join(report.installed) or 'nothing'}", file=sys.stderr)
     elif args.verb == "gen":
         t = TABLES[args.table]

@@ -89,6 +89,10 @@ class KeyedTable:
     def in_key_order(self) -> DataFrame:
         return self.df.orderBy(unsigned(F.col("key")), "path")
 
+    def sample(self, n: int, seed: int = 0) -> DataFrame:
+        """``n`` rows picked by a hash of their keys: the same ones for the same seed, however the table is laid out."""
+        return self.df.orderBy(F.xxhash64("key", F.lit(seed)), unsigned(F.col("key")), "path").limit(n)
+
     def resident(self) -> dict[int, str]:
         """The whole table on the driver, by unsigned key; for tables that are known to be small."""
         return {to_unsigned(r["key"]): r["path"] for r in self.df.toLocalIterator()}

@@ -309,6 +309,11 @@ def http_fetch(base_url: str, timeout: float = 60) -> Callable[[str], bytes]:
     return fetch
 
 
+def release_url(repo: str) -> str:
+    """Where the files of the latest release of a hosted ``owner/name`` repository are."""
+    return f"https://github.com/{repo}/releases/latest/download"
+
+
 def directory_fetch(directory: str | Path) -> Callable[[str], bytes]:
     return lambda name: (Path(directory) / name).read_bytes()
 

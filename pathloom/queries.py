@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import strings as S
 from .functions.hashing import fnv1a32, hash_path, xxh3, xxh64
+from .functions.human import grouped
 from .functions.keys import format_hex, parse_hex
 from .meta import TABLES, Casing, HashKind, KeyWidth, TableMeta
 from .operators import guessers as G
@@ -16,7 +18,8 @@ from .operators.layered import resolve
 from .operators.table import KeyedTable, adjacent_conflicts, arena_offsets, conflicts, frame_ids, merge_lists, merge_report
 from .plans.catalog import gc_frame, plan_frame
 from .plans.hunt import Hunt, hits
-from .session import checkpointed
+from .session import checkpointed, shared_dir
+from .sources.hashdb import read_table_file, write_table_file
 from .sources.mining import scan_tokens, tree_strings
 from .sources.textio import parse_hash_lines
 
@@ -250,6 +253,26 @@ def list_lines(spark, sf_dir):
     return parse_hash_lines(lines).select("key", "path")
 
 
+@query(f"select path, {_fnv_sql('lower(path)')} as key from {_CORPUS_SQL}")
+def table_file_scan(spark, sf_dir):
+    """The corpus as a binary table file, written and read again."""
+    table = KeyedTable.of_paths(corpus(spark, sf_dir), U32)
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}.lhdb"
+    write_table_file(table.df, path, U32)
+    return read_table_file(spark, path).select("path", "key")
+
+
+@query("select * from (select n_nationkey::BIGINT as key, n_name as path from nation) t")
+def resident_sample(spark, sf_dir):
+    """A sample as large as the table is the table."""
+    return KeyedTable(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("path")), TableMeta()).sample(25, seed=3)
+
+
+@query("select p_partkey, replace(format('{:,}', p_partkey * 1234), ',', ',') as grouped from part")
+def human_numbers(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", grouped(F.col("p_partkey") * 1234).alias("grouped"))
+
+
 # ---- vocabularies and generators -----------------------------------------------------------------------------------------
 
 

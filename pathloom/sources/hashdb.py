@@ -340,6 +340,7 @@ class HashDbWriter(DataSourceArrowWriter):
         frame = int(o.get("frame_size", 16384))
         system, path = self._fs()
         staged = f"{path}.{uuid.uuid4().hex}.tmp"
+        system.create_dir(os.path.dirname(path), recursive=True)
         with system.open_output_stream(staged) as out:
             out.write(encode_table(pairs, meta, None if frame < 0 else frame, int(o.get("level", 3))))
         return Written(staged)
