@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .errors import BuildError, OpenError, VerifyError
 from .meta import TABLES, LogicalTable
-from .operators.table import check, merge_lists, merge_report
+from .operators.table import KeyedTable, merge_lists, merge_report
 from .plans.catalog import Store, directory_fetch, http_fetch, release_url
 from .plans.hunt import Hunt, resolved_lines, targets
 from .session import local_session, ship
@@ -48,8 +48,9 @@ def _listed(spark: SparkSession, files: list[str]) -> DataFrame:
 
 def build(spark: SparkSession, files: list[str], table: LogicalTable, out: str, frame_size: int | None, level: int) -> int:
     pairs = _listed(spark, files).select("key", "path")
-    check(pairs, table.meta)
-    write_table_file(pairs.distinct(), out, table.meta, frame_size, level)
+    checked = KeyedTable.build(pairs, table.meta)
+    write_table_file(checked.df, out, table.meta, frame_size, level)
+    checked.release()
     return open_file(out).head.entries
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +23,19 @@ def conflicts(pairs: DataFrame) -> DataFrame:
 
 
 def check(pairs: DataFrame, meta: TableMeta) -> None:
-    """Raises for the smallest key with two paths, else the smallest key over 32 bits, else the first path (in path order) that is too long."""
-    per_key = pairs.groupBy("key").agg(F.min("path").alias("path"), F.max("path").alias("other"))
-    long = F.octet_length("path") > MAX_PATH_BYTES
-    wide = (F.col("key") < 0) | (F.col("key") > 0xFFFFFFFF)
-    r = per_key.agg(
-        F.min(F.when(F.col("path") != F.col("other"), unsigned(F.col("key")))).alias("twice"), F.min(F.when(wide, unsigned(F.col("key")))).alias("wide"),
-        F.min(F.when(long, F.struct("path", unsigned(F.col("key")).alias("order")))).alias("long"),
-    ).first()
+    """Raises for the smallest key with two paths, else the smallest key over 32 bits, else the first path (in path order) that is too long.
+
+    ``pairs`` are distinct.  Only keys are shuffled; paths are looked at where they are.
+    """
     back = lambda x: to_unsigned(x ^ -(1 << 63))
-    if r["twice"] is not None:
-        raise DuplicateKey(back(r["twice"]))
-    if meta.key_width is KeyWidth.U32 and r["wide"] is not None:
+    twice = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").agg(F.min(unsigned(F.col("key")))).first()[0]
+    if twice is not None:
+        raise DuplicateKey(back(twice))
+    long = F.octet_length("path") > MAX_PATH_BYTES
+    wide = ((F.col("key") < 0) | (F.col("key") > 0xFFFFFFFF)) & F.lit(meta.key_width is KeyWidth.U32)
+    odd = pairs.filter(wide | long).select("key", "path", wide.alias("wide"), long.alias("long"))
+    r = odd.agg(F.min(F.when(F.col("wide"), unsigned(F.col("key")))).alias("wide"), F.min(F.when(F.col("long"), F.struct("path", unsigned(F.col("key")).alias("order")))).alias("long")).first()
+    if r["wide"] is not None:
         raise KeyOutOfRange(back(r["wide"]))
     if r["long"] is not None:
         raise PathTooLong(back(r["long"]["order"]), len(r["long"]["path"].encode()))
@@ -44,13 +46,29 @@ class KeyedTable:
 
     def __init__(self, df: DataFrame, meta: TableMeta):
         self.df, self.meta = df.select("key", "path"), meta
+        self.held: DataFrame | None = None
 
     @classmethod
     def build(cls, pairs: DataFrame, meta: TableMeta) -> KeyedTable:
-        """Distinct pairs, checked; equal pairs collapse."""
-        rows = pairs.select(F.col("key").cast("long").alias("key"), F.col("path").cast("string").alias("path"))
-        check(rows, meta)
-        return cls(rows.dropDuplicates(["key", "path"]), meta)
+        """Distinct pairs, checked; equal pairs collapse.
+
+        The distinct pairs are kept (memory, then disk) for the checks and what
+        is done with the table next; ``release`` lets them go.
+        """
+        rows = pairs.select(F.col("key").cast("long").alias("key"), F.col("path").cast("string").alias("path")).dropDuplicates(["key", "path"]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            check(rows, meta)
+        except Exception:
+            rows.unpersist()
+            raise
+        table = cls(rows, meta)
+        table.held = rows
+        return table
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
 
     @classmethod
     def of_paths(cls, paths: DataFrame, meta: TableMeta) -> KeyedTable:
@@ -176,9 +194,10 @@ def merge_report(merged: DataFrame, lists: Iterable[DataFrame]) -> DataFrame:
     """One row: rows, conflicts (paths beyond each key's first) and the widest hex token of the inputs."""
     from functools import reduce
 
-    width = reduce(DataFrame.unionByName, [x.select("hex") for x in lists]).agg(F.coalesce(F.max(F.length("hex")), F.lit(1)).alias("digits"))
-    counts = merged.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("conflicts"))
-    return counts.crossJoin(F.broadcast(width))  # one row each
+    none = F.lit(None).cast("long")
+    width = reduce(DataFrame.unionByName, [x.select("hex") for x in lists]).agg(none.alias("entries"), none.alias("conflicts"), F.coalesce(F.max(F.length("hex")), F.lit(1)).cast("long").alias("digits"))
+    counts = merged.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("conflicts"), none.alias("digits"))
+    return counts.unionByName(width).agg(*(F.max(c).alias(c) for c in ("entries", "conflicts", "digits")))
 
 
 def adjacent_conflicts(merged: DataFrame) -> DataFrame:

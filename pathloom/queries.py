@@ -259,6 +259,7 @@ def table_file_scan(spark, sf_dir):
     table = KeyedTable.of_paths(corpus(spark, sf_dir), U32)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}.lhdb"
     write_table_file(table.df, path, U32)
+    table.release()
     return read_table_file(spark, path).select("path", "key")
 
 
