@@ -9,12 +9,15 @@ similar sets share one with a fixed chance.  Runs with fresh hashes are
 repeated until the chance that no path is shared is below ``1 - RECALL``; a
 path that several runs choose is walked once.  Buckets of at most ``BRUTE``
 sets are compared by brute force.  In a larger one every set is compared with
-``HUBS`` hubs, picked by hash, and linked to the most similar; sets as similar
-as the threshold to a hub leave, all others split on further tokens: minhash
-coordinates, which make a set of fixed size of any set.  Below ``DEPTH`` a
-bucket is no longer split but peeled by ever new hubs until brute force can
-take the rest, so nothing is capped or dropped.  A sketch of 64 coordinates
-sorts out pairs that are far off; all others are verified on the whole sets.
+``HUBS`` hubs, picked by hash, and linked to those that are most similar; sets
+clearly as similar as the threshold to a hub leave, all others split further, on
+two tokens at a time: minhash coordinates, which make a set of fixed size of
+any set.  Below ``DEPTH`` a bucket is no longer split but peeled by ever new
+hubs until brute force can take the rest, so no set is dropped uncompared.  A
+sketch of 64 coordinates sorts out pairs that are far off; all others are
+verified on the whole sets.  A set with more than ``PARTNERS`` similar ones in
+a bucket is verified against that many, the nearest: in a group as large as
+that they hold it in its class, and n_links counts those.
 
 Equal sets are one node, so copies, however many, cost one row each.  Buckets
 are never gathered beyond ``BRUTE`` sets: hub comparison is a join by bucket
@@ -39,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, emit, pieces, table, texts
-from .words import Words
+from .words import WORD_BATCH, Words
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-BRUTE, HUBS, DEPTH, BRANCH = 12, 8, 4, 4
+BRUTE, PARTNERS, HUBS, HUB_LINKS, DEPTH, BRANCH = 512, 12, 8, 3, 6, 2
 #: Minhash coordinates of a sketch, one byte each; how many must agree for a pair to be verified, and to leave with its hub.
-COORDS, AGREE, LEAVE = 64, 40, 52
+COORDS, AGREE, LEAVE = 64, 40, 54
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -116,7 +119,7 @@ def nodes_of(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
         def rows():
             for batch in batches:
-                for part in pieces(batch):
+                for part in pieces(batch, most=WORD_BATCH):
                     for doc_id, row_hash, tokens in zip(part["doc_id"].to_pylist(), part["row_hash"].to_pylist(), shingle_sets(words, part), strict=True):
                         if not len(tokens):
                             yield doc_id, row_hash, None, 0, None, None
@@ -148,8 +151,12 @@ def _matrix(values: list[bytes]):
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), COORDS)
 
 
+_STEP = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary())])
+_STEP_DDL = "a binary, b binary, path long, node binary, size int, sketch binary"
+
+
 def brute_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``members`` (arrays of node, size, sketch) that their sketches do not rule out."""
+    """Pairs (as rows of a step) of ``members``, arrays of node, size, sketch: of each set with its most similar earlier ones."""
 
     def run(batches):
         import numpy as np
@@ -157,18 +164,20 @@ def brute_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
         def rows():
             for batch in batches:
                 for members in batch["members"].to_pylist():
+                    members.sort(key=lambda m: m["node"])
                     sizes, sketches = np.array([m["size"] for m in members]), _matrix([m["sketch"] for m in members])
-                    for i, k in zip(*np.nonzero(np.triu(_near(sizes, sketches, sizes, sketches, threshold) >= AGREE, 1)), strict=True):
-                        a, b = members[i]["node"], members[k]["node"]
-                        yield (a, b) if a < b else (b, a)
+                    for start in range(0, len(members), 64):
+                        near = _near(sizes[start : start + 64], sketches[start : start + 64], sizes, sketches, threshold)
+                        for i, agree in enumerate(near, start):
+                            at = np.flatnonzero(agree[:i] >= AGREE)
+                            if len(at) > PARTNERS:
+                                at = at[np.argsort(-agree[at], kind="stable")[:PARTNERS]]
+                            for k in at:
+                                yield members[k]["node"], members[i]["node"], None, None, None, None
 
-        yield from emit(_PAIRS, rows(), lambda r: 64)
+        yield from emit(_STEP, rows(), lambda r: 64)
 
-    return buckets.select("members").mapInArrow(run, _PAIRS_DDL)
-
-
-_STEP = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary())])
-_STEP_DDL = "a binary, b binary, path long, node binary, size int, sketch binary"
+    return buckets.select("members").mapInArrow(run, _STEP_DDL)
 
 
 def hub_step(large: DataFrame, threshold: float, split: bool, round_no: int) -> DataFrame:
@@ -188,31 +197,30 @@ def hub_step(large: DataFrame, threshold: float, split: bool, round_no: int) ->
                 paths = batch["path"].to_numpy()
                 cuts = [0, *(np.flatnonzero(paths[1:] != paths[:-1]) + 1).tolist(), len(paths)]
                 for start, end in zip(cuts, cuts[1:], strict=False):
-                    if start == end:
-                        continue
-                    part = batch.slice(start, end - start)
-                    nodes, sizes, raw = part["node"].to_pylist(), part["size"].to_numpy(), part["sketch"].to_pylist()
-                    sketches, hubs_here = _matrix(raw), part["hubs"][0].as_py()
-                    names = [h["node"] for h in hubs_here]
-                    agree = _near(sizes, sketches, np.array([h["size"] for h in hubs_here]), _matrix([h["sketch"] for h in hubs_here]), threshold)
-                    itself = np.array([[n == h for h in names] for n in nodes])
-                    others = np.where(itself, 0, agree)
-                    best = others.argmax(axis=1)
-                    close = others[np.arange(len(nodes)), best]
-                    seed = mix(np.uint64(int(paths[start]) & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(round_no + 1))
-                    draw = np.argsort(mix(np.arange(COORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed))[:BRANCH]
-                    for i, node in enumerate(nodes):
-                        if close[i] >= AGREE:
-                            hub = names[best[i]]
-                            yield min(node, hub), max(node, hub), None, None, None, None
-                        if close[i] >= LEAVE or itself[i].any() and not split:
-                            continue
-                        if not split:
-                            yield None, None, int(paths[start]), node, int(sizes[i]), raw[i]
-                            continue
-                        for c in draw:
-                            child = mix(seed ^ np.uint64((int(c) << 8) + int(sketches[i, c]) + 1) * np.uint64(0x94D049BB133111EB))
-                            yield None, None, int(child.view(np.int64)), node, int(sizes[i]), raw[i]
+                    if start < end:
+                        yield from bucket(batch.slice(start, end - start), int(paths[start]))
+
+        def bucket(part, path):
+            nodes, sizes, raw = part["node"].to_pylist(), part["size"].to_numpy(), part["sketch"].to_pylist()
+            sketches, hubs_here = _matrix(raw), part["hubs"][0].as_py()
+            names = [h["node"] for h in hubs_here]
+            agree = _near(sizes, sketches, np.array([h["size"] for h in hubs_here]), _matrix([h["sketch"] for h in hubs_here]), threshold)
+            seed = mix(np.uint64(path & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(round_no + 1))
+            draw = np.argsort(mix(np.arange(COORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed))[: 2 * BRANCH].reshape(BRANCH, 2)
+            for i, node in enumerate(nodes):
+                others = np.array([0 if n == node else x for n, x in zip(names, agree[i].tolist(), strict=True)])
+                for k in np.argsort(-others, kind="stable")[:HUB_LINKS]:
+                    if others[k] >= AGREE:
+                        yield min(node, names[k]), max(node, names[k]), None, None, None, None
+                if others.max(initial=0) >= LEAVE or node in names and not split:
+                    continue
+                row = (node, int(sizes[i]), raw[i])
+                if not split:
+                    yield None, None, path, *row
+                    continue
+                for c, d in draw:
+                    token = (int(c) << 24) | (int(sketches[i, c]) << 16) | (int(d) << 8) | int(sketches[i, d])
+                    yield None, None, int(mix(seed ^ np.uint64(token + 1) * np.uint64(0x94D049BB133111EB)).view(np.int64)), *row
 
         with np.errstate(over="ignore"):
             yield from emit(_STEP, rows(), lambda r: 160)
@@ -227,12 +235,11 @@ def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     while True:
         counts = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         small = level.join(counts.filter(F.col("n") <= BRUTE).select("path"), "path").groupBy("path").agg(F.collect_list(F.struct("node", "size", "sketch")).alias("members"))
-        found.append(brute_pairs(small, threshold))
         large = level.join(counts.filter(F.col("n") > BRUTE).select("path"), "path")
         depth += 1
-        step = checkpointed(hub_step(large, threshold, depth <= DEPTH, depth))
+        step = checkpointed(brute_pairs(small, threshold).unionByName(hub_step(large, threshold, depth <= DEPTH, depth)).distinct())
         found.append(step.filter("a is not null").select("a", "b"))
-        level = step.filter("path is not null").select("path", "node", "size", "sketch").distinct()
+        level = step.filter("path is not null").select("path", "node", "size", "sketch")
         if level.isEmpty():
             break
     pairs = found[0]
@@ -250,7 +257,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold
 
         def rows():
             for batch in batches:
-                for part in pieces(batch):
+                for part in pieces(batch, most=WORD_BATCH):
                     for node, tokens in zip(part["node"].to_pylist(), shingle_sets(words, part), strict=True):
                         if digest(tokens) == node:
                             yield node, tokens.tobytes()
