@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, table, texts
-from .words import Words
+from .words import WORD_BATCH, Words
 
 #: Labelled rows that the models and the curve are fitted on, at most; one of FOLDS parts of them is for the curve.
-MAX_LABELLED, FOLDS = 20000, 5
+MAX_LABELLED, FOLDS = 32768, 5
 CELL_BITS = 20
 #: Discounts of counts of 1, of 2, and of more.
 D = (1.0, 1.5, 1.75)
@@ -94,7 +94,7 @@ def pair_counts(docs: DataFrame, sample: dict[int, int]) -> DataFrame:
             mine = [known.get(d) for d in batch["doc_id"].to_pylist()]
             for toxic in (0, 1):
                 at = [i for i, x in enumerate(mine) if x == toxic]
-                for part in pieces(batch.take(pa.array(at, type=pa.int64()))) if at else ():
+                for part in pieces(batch.take(pa.array(at, type=pa.int64())), most=WORD_BATCH) if at else ():
                     hashes, offsets = words.of(part["text"])
                     pair, before = _pairs_of(hashes, offsets)
                     once = np.unique(pair + np.repeat(np.arange(part.num_rows, dtype=np.uint64) * np.uint64(_BEGIN), np.diff(offsets)), return_index=True)[1]
@@ -114,7 +114,7 @@ def followed(docs: DataFrame) -> DataFrame:
 
         words, seen = Words(), np.zeros(CELLS * 64, dtype=bool)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=WORD_BATCH):
                 hashes, offsets = words.of(part["text"])
                 _, before = _pairs_of(hashes, offsets)
                 seen[_cell(hashes) * 64 + (before & np.uint64(63)).astype(np.int64)] = True
@@ -188,7 +188,7 @@ def signs(docs: DataFrame, model) -> DataFrame:
 
         words, tables = Words(), model.value
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=WORD_BATCH):
                 hashes, offsets = words.of(part["text"])
                 after, alone = (x.astype(np.float64) for x in ratios(tables, hashes, offsets))
                 n = np.maximum(np.diff(offsets), 1)

@@ -7,7 +7,9 @@ import re
 import pyarrow as pa
 
 _WORD = re.compile(r"[^\W_]+")
-_CACHED, _LONG = 1 << 19, 48
+_CACHED, _LONG = 1 << 17, 48
+#: Bytes of text whose words are held at once.
+WORD_BATCH = 2 << 20
 
 
 class Words:
