@@ -70,11 +70,17 @@ def fingerprint(signatures: Column) -> Column:
     return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
+def length_partition(signatures: Column, least: float = LEAST) -> Column:
+    """Partition of a set by its length; sets with a Jaccard of ``least`` or more are in the same or neighbouring ones."""
+    return F.floor(F.log(F.size(signatures)) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+
+
 def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard of two signature sets, 0 where the lengths alone keep it below ``least``."""
+    """Jaccard of two signature sets, 0 where their partitions are no neighbours or their lengths keep it below ``least``."""
+    apart = F.abs(length_partition(a, least) - length_partition(b, least)) > 1
     bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when(bound < least, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.when(apart | (bound < least), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -125,5 +131,5 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = compare_with_next(table(spark, sf_dir, "documents"))
     return c.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("signatures")).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), F.size("signatures").alias("n_signatures"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), F.size("signatures").alias("n_signatures"), length_partition(F.col("signatures")).alias("length_partition"),
     )

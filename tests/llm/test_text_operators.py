@@ -259,6 +259,14 @@ def test_signatures(spark):
     assert len({tuple(v) for v in got.values()}) == len(texts)
 
 
+def test_likeness_and_pruning(spark):
+    rows = [([1, 2, 3, 4], [3, 4, 5]), ([1], list(range(30))), (list(range(10)), list(range(100))), ([7], [7]), ([1], [2])]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    got = [r[0] for r in df.select(fingerprints.likeness(df["a"], df["b"])).collect()]
+    assert got == [2 / 5, 0.0, 0.1, 1.0, 0.0]
+    assert [r[0] for r in df.select(fingerprints.fingerprint(df["a"])).limit(1).collect()] == ["00000001000000020000000300000004"]
+
+
 def test_fingerprints(odd, none):
     got = fingerprints.compare_with_next(odd).collect()
     texts = sorted({(i is not None, i or 0, t) for i, t in rows_of(odd)})
