@@ -38,8 +38,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of a batch that goes to a Python worker: long texts must not fill an executor's memory beside the heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package's code to the executors' Python workers, once for each application."""
+    """Gives this package's code to the executors' Python workers, once for each application, and bounds their batches."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
