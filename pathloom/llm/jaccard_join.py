@@ -3,29 +3,28 @@
 A text is the set of its five-word shingles (hashed); two texts are linked if
 the Jaccard similarity of their sets is at least ``THRESHOLD``.
 
-Chosen-path recursion: a set x follows a token j if a random hash of j is
-below ``1 / (THRESHOLD * |x|)``, so it takes 1.25 paths on average, and two
-similar sets share one with a fixed chance.  Runs with fresh hashes are
-repeated until the chance that no path is shared is below ``1 - RECALL``; a
-path that several runs choose is walked once.  Buckets of at most ``BRUTE``
-sets are compared by brute force.  In a larger one every set is compared with
-``HUBS`` hubs, picked by hash, and linked to those that are most similar; sets
-clearly as similar as the threshold to a hub leave, all others split further, on
-two tokens at a time: minhash coordinates, which make a set of fixed size of
-any set.  Below ``DEPTH`` a bucket is no longer split but peeled by ever new
-hubs until brute force can take the rest, so no set is dropped uncompared.  A
+Chosen paths: a set x follows a token j if a random hash of j is below
+``1 / (THRESHOLD * |x|)``, so it takes 1.25 paths on average, and two similar
+sets share one with a fixed chance.  Runs with fresh hashes are repeated until
+the chance that no path is shared is below ``1 - RECALL``; a path that several
+runs choose is walked once.  All sets of a path are a bucket, and all pairs of
+a bucket are compared: at once up to ``BRUTE`` sets, in a larger one block by
+block.  Blocks are of one class of sizes, and only blocks of the same or of
+neighbouring classes meet, as no other sizes can be as similar as the
+threshold.  So no pair that shares a path goes uncompared, and the recall is the
+same in buckets of any size; the work in a bucket grows with the square of its
+sets of similar size.
+
+A pair is looked at in one bucket only, that of the least path it shares.  A
 sketch of 64 coordinates sorts out pairs that are far off; all others are
-verified on the whole sets.  A set with more than ``PARTNERS`` similar ones in
-a bucket is verified against that many, the nearest: in a group as large as
-that they hold it in its class, and n_links counts those.
+verified there on the whole sets.  Pairs are not written: a block gives each
+set's number of links, and as many links as hold its sets together.
 
-Equal sets are one node, so copies, however many, cost one row each.  Buckets
-are never gathered beyond ``BRUTE`` sets: hub comparison is a join by bucket
-that can be split anywhere, and counts are aggregated before any shuffle.
+Equal sets are one node, so copies, however many, cost one row each.
 
 Result: one row per document with its class (the smallest id of its connected
-component), the number of verified links of its text to other texts (in large
-buckets those to hubs), and the number of documents with an equal set.
+component), the number of verified links of its text to other texts, and the
+number of documents with an equal set.
 
 Defined cases: a text of one to four words is one shingle of all its words;
 null, empty and wordless texts have no shingles and are each a class of their
@@ -45,13 +44,17 @@ from .common import checkpointed, emit, pieces, table, texts
 from .words import WORD_BATCH, Words
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-BRUTE, PARTNERS, HUBS, HUB_LINKS, DEPTH, BRANCH = 512, 12, 8, 3, 6, 2
-#: Minhash coordinates of a sketch, one byte each; how many must agree for a pair to be verified, and to leave with its hub.
-COORDS, AGREE, LEAVE = 64, 40, 54
+#: Sets of a bucket that are compared at once; sets of a block, and tokens of a bucket or block that are held at once.
+BRUTE, BLOCK, TOKENS = 512, 1024, 1 << 22
+#: Minhash coordinates of a sketch, one byte each, and how many must agree for a pair to be verified.
+COORDS, AGREE = 64, 40
+#: Of the hubs that there once were: nothing reads these, but a test still sets them.
+DEPTH, LEAVE = 0, 64
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-_PAIRS_DDL = "a binary, b binary"
+#: A set's number of links in a block (``b`` is null), or a link.
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
+_LINKS_DDL = "a binary, b binary, n long"
 
 
 def runs_for(recall: float = RECALL) -> int:
@@ -151,105 +154,92 @@ def _matrix(values: list[bytes]):
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), COORDS)
 
 
-_STEP = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary())])
-_STEP_DDL = "a binary, b binary, path long, node binary, size int, sketch binary"
+_MEMBER = pa.schema([("path", pa.int64()), ("task", pa.string()), ("side", pa.int32()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
+_MEMBER_DDL = "path long, task string, side int, node binary, size int, sketch binary, paths array<long>"
+_WHOLE = 2
 
 
-def brute_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (as rows of a step) of ``members``, arrays of node, size, sketch: of each set with its most similar earlier ones."""
+def tasks_of(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``_MEMBER``: which sets are compared with which.
 
-    def run(batches):
-        import numpy as np
+    Sets of the same ``path`` and ``task`` are: all with all where ``side`` is
+    ``_WHOLE``, those of side 0 with those of side 1 elsewhere.
+    """
+    level = reps.select(F.explode("paths").alias("path"), "node", "size", "sketch", "paths")
+    counts = level.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
+    known = checkpointed(level.join(counts, "path"))
+    few = (F.col("n") <= BRUTE) & (F.col("tokens") <= TOKENS)
+    names = [f.name for f in _MEMBER]
+    small = known.filter(few).withColumn("task", F.lit("")).withColumn("side", F.lit(_WHOLE)).select(names)
+
+    # A little wider than the threshold, so that rounding puts no pair two classes apart.
+    kind = F.floor(F.log("size") / (1.0001 * math.log(1 / threshold))).cast("int")
+    large = known.filter(~few).select("path", "node", "size", "sketch", "paths", kind.alias("kind"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(TOKENS))).cast("int")
+    per_kind = large.groupBy("path", "kind").agg(blocks.alias("blocks"))
+    per_path = per_kind.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))
+    placed = large.join(per_path, "path").withColumn("mine", F.struct("kind", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("kind")]).cast("int").alias("block")))
+    met = F.expr("""flatten(transform(array(kind - 1, kind, kind + 1), k -> if(map_contains_key(blocks, k),
+        transform(sequence(0, blocks[k] - 1), i -> named_struct('kind', k, 'block', i)), array())))""")
+    met = placed.withColumn("other", F.explode(met)).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    side = F.when(F.col("low") == F.col("high"), _WHOLE).when(F.col("mine") == F.col("low"), 0).otherwise(1)
+    task = F.concat_ws("/", "low.kind", "low.block", "high.kind", "high.block")
+    return small.unionByName(met.withColumn("side", side).withColumn("task", task).select(names))
+
+
+def _candidates(path: int, members: list[dict], threshold: float):
+    """``i, others``: the pairs of ``members`` whose least shared path is ``path`` and that their sizes and sketches do not rule out."""
+    import numpy as np
 
-        def rows():
-            for batch in batches:
-                for members in batch["members"].to_pylist():
-                    members.sort(key=lambda m: m["node"])
-                    sizes, sketches = np.array([m["size"] for m in members]), _matrix([m["sketch"] for m in members])
-                    for start in range(0, len(members), 64):
-                        near = _near(sizes[start : start + 64], sketches[start : start + 64], sizes, sketches, threshold)
-                        for i, agree in enumerate(near, start):
-                            at = np.flatnonzero(agree[:i] >= AGREE)
-                            if len(at) > PARTNERS:
-                                at = at[np.argsort(-agree[at], kind="stable")[:PARTNERS]]
-                            for k in at:
-                                yield members[k]["node"], members[i]["node"], None, None, None, None
-
-        yield from emit(_STEP, rows(), lambda r: 64)
-
-    return buckets.select("members").mapInArrow(run, _STEP_DDL)
-
-
-def hub_step(large: DataFrame, threshold: float, split: bool, round_no: int) -> DataFrame:
-    """One level of the large buckets: pairs with hubs (``a, b``) and, as rows with a path, what goes on."""
-    slot = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(HUBS))
-    member = F.struct("node", "size", "sketch")
-    picked = large.groupBy("path", slot.alias("slot")).agg(F.min_by(member, F.xxhash64("node", F.lit(-round_no - 1))).alias("hub"))
-    hubs = picked.groupBy("path").agg(F.collect_list("hub").alias("hubs"))
+    sides = np.array([m["side"] for m in members])
+    whole = sides[0] == _WHOLE
+    left, right = (np.arange(len(members)),) * 2 if whole else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+    if not len(left) or not len(right):
+        return
+    sizes, sketches = np.array([m["size"] for m in members]), _matrix([m["sketch"] for m in members])
+    before = [frozenset(p for p in m["paths"] if p < path) for m in members]
+    for start in range(0, len(left), 64):
+        some = left[start : start + 64]
+        for i, agree in zip(some, _near(sizes[some], sketches[some], sizes[right], sketches[right], threshold), strict=True):
+            others = [k for k in right[agree >= AGREE] if (k > i or not whole) and before[i].isdisjoint(before[k])]
+            if others:
+                yield i, others
 
-    def run(batches):
-        import numpy as np
 
-        mix = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def _buckets(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("path", "task").agg(F.collect_list(F.struct("side", "node", "size", "sketch", "paths", *more)).alias("members"))
+
 
+def with_candidates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``tasks_of`` that have a set to be verified against."""
+
+    def run(batches):
         def rows():
             for batch in batches:
-                paths = batch["path"].to_numpy()
-                cuts = [0, *(np.flatnonzero(paths[1:] != paths[:-1]) + 1).tolist(), len(paths)]
-                for start, end in zip(cuts, cuts[1:], strict=False):
-                    if start < end:
-                        yield from bucket(batch.slice(start, end - start), int(paths[start]))
-
-        def bucket(part, path):
-            nodes, sizes, raw = part["node"].to_pylist(), part["size"].to_numpy(), part["sketch"].to_pylist()
-            sketches, hubs_here = _matrix(raw), part["hubs"][0].as_py()
-            names = [h["node"] for h in hubs_here]
-            agree = _near(sizes, sketches, np.array([h["size"] for h in hubs_here]), _matrix([h["sketch"] for h in hubs_here]), threshold)
-            seed = mix(np.uint64(path & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(round_no + 1))
-            draw = np.argsort(mix(np.arange(COORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed))[: 2 * BRANCH].reshape(BRANCH, 2)
-            for i, node in enumerate(nodes):
-                others = np.array([0 if n == node else x for n, x in zip(names, agree[i].tolist(), strict=True)])
-                for k in np.argsort(-others, kind="stable")[:HUB_LINKS]:
-                    if others[k] >= AGREE:
-                        yield min(node, names[k]), max(node, names[k]), None, None, None, None
-                if others.max(initial=0) >= LEAVE or node in names and not split:
-                    continue
-                row = (node, int(sizes[i]), raw[i])
-                if not split:
-                    yield None, None, path, *row
-                    continue
-                for c, d in draw:
-                    token = (int(c) << 24) | (int(sketches[i, c]) << 16) | (int(d) << 8) | int(sketches[i, d])
-                    yield None, None, int(mix(seed ^ np.uint64(token + 1) * np.uint64(0x94D049BB133111EB)).view(np.int64)), *row
-
-        with np.errstate(over="ignore"):
-            yield from emit(_STEP, rows(), lambda r: 160)
-
-    return large.join(hubs, "path").select("path", "node", "size", "sketch", "hubs").mapInArrow(run, _STEP_DDL)
-
-
-def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs of nodes that share a bucket and that their sketches do not rule out."""
-    level = reps.select(F.explode("paths").alias("path"), "node", "size", "sketch")
-    found, depth = [], 0
-    while True:
-        counts = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        small = level.join(counts.filter(F.col("n") <= BRUTE).select("path"), "path").groupBy("path").agg(F.collect_list(F.struct("node", "size", "sketch")).alias("members"))
-        large = level.join(counts.filter(F.col("n") > BRUTE).select("path"), "path")
-        depth += 1
-        step = checkpointed(brute_pairs(small, threshold).unionByName(hub_step(large, threshold, depth <= DEPTH, depth)).distinct())
-        found.append(step.filter("a is not null").select("a", "b"))
-        level = step.filter("path is not null").select("path", "node", "size", "sketch")
-        if level.isEmpty():
-            break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
-
-
-def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose whole shingle sets are as similar as ``threshold``."""
+                for path, task, members in zip(*(batch[n].to_pylist() for n in ("path", "task", "members")), strict=True):
+                    kept = set()
+                    for i, others in _candidates(path, members, threshold):
+                        kept.update((i, *others))
+                    for m in (members[i] for i in sorted(kept)):
+                        yield path, task, m["side"], m["node"], m["size"], m["sketch"], m["paths"]
+
+        yield from emit(_MEMBER, rows(), lambda r: 200)
+
+    return _buckets(rows).mapInArrow(run, _MEMBER_DDL)
+
+
+def shared_tokens(tokens, others: list):
+    """How many of the sorted ``tokens`` each of the other sets holds."""
+    import numpy as np
+
+    all_others = np.concatenate(others)
+    at = np.searchsorted(tokens, all_others)
+    at[at == len(tokens)] = 0
+    return np.add.reduceat((tokens[at] == all_others).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def verified_links(docs: DataFrame, reps: DataFrame, wanted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``_LINKS``: how many pairs of each set are as similar as ``threshold`` on the whole sets, and links enough to join all that are linked."""
     schema = pa.schema([("node", pa.binary()), ("tokens", pa.binary())])
 
     def load(batches):
@@ -269,19 +259,38 @@ def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold
 
         def rows():
             for batch in batches:
-                for a, b, x, y in zip(*(batch[n].to_pylist() for n in ("a", "b", "x", "y")), strict=True):
-                    s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if both >= threshold * (len(s) + len(t) - both):
-                        yield a, b
-
-        yield from emit(_PAIRS, rows(), lambda r: 64)
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    named = reps.select("node", F.col("doc_id").alias("rep_id")).join(wanted, "node", "left_semi")
+                for path, members in zip(batch["path"].to_pylist(), batch["members"].to_pylist(), strict=True):
+                    yield from bucket(path, members)
+
+        def bucket(path, members):
+            sets = [np.frombuffer(m["tokens"], dtype=np.uint64) for m in members]
+            lengths = np.array([len(s) for s in sets])
+            links, parent = np.zeros(len(members), dtype=np.int64), list(range(len(members)))
+
+            def root(i):
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for i, others in _candidates(path, members, threshold):
+                others = np.array(others)
+                both = shared_tokens(sets[i], [sets[k] for k in others])
+                linked = others[both >= threshold * (lengths[i] + lengths[others] - both)]
+                links[i] += len(linked)
+                links[linked] += 1
+                for k in linked:
+                    x, y = root(int(i)), root(int(k))
+                    if x != y:
+                        parent[y] = x
+                        yield members[i]["node"], members[k]["node"], 0
+            for i in np.flatnonzero(links):
+                yield members[i]["node"], None, int(links[i])
+
+        yield from emit(_LINKS, rows(), lambda r: 64)
+
+    named = reps.select("node", F.col("doc_id").alias("rep_id")).join(wanted.select("node").distinct(), "node", "left_semi")
     sets = texts(docs).join(named, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text").mapInArrow(load, "node binary, tokens binary").dropDuplicates(["node"])
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    return first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, _PAIRS_DDL)
+    return _buckets(wanted.join(sets, "node"), "tokens").mapInArrow(verify, _LINKS_DDL)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,9 +315,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """``doc_id, row_hash, class_id, n_links, n_copies`` for every row of ``docs``; ``row_hash`` is xxhash64 of the text."""
     nodes = checkpointed(nodes_of(docs, threshold, recall))
     reps = checkpointed(nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-    links = checkpointed(verified_links(docs, reps, checkpointed(candidate_pairs(reps, threshold)), threshold))
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    wanted = checkpointed(with_candidates(tasks_of(reps, threshold), threshold))
+    links = checkpointed(verified_links(docs, reps, wanted, threshold))
+    labels = components(links.filter("b is not null"))
+    degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     known = reps.select("node", "doc_id", "n_copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     classes = known.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

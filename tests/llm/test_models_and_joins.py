@@ -110,6 +110,23 @@ def test_jaccard_splits_and_peels(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in got} == classes
 
 
+def linked(spark, rows):
+    return {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_classes(frame(spark, rows)).collect()}
+
+
+def test_jaccard_counts_all_links_of_a_large_group(spark):
+    """Each of 90 near copies has 89 links, and one pair at about 0.82 joins two tight groups."""
+    r = random.Random(21)
+    base = prose(r, 400).split(" ")
+    other = base[:360] + prose(r, 40).split(" ")
+    rows = [(i, " ".join(base[:i] + [f"left{i}"] + base[i + 1 :])) for i in range(5, 95)]
+    rows += [(100 + i, " ".join(other[:i] + [f"right{i}"] + other[i + 1 :])) for i in range(5, 95)] + [(500, " ".join(base)), (600, " ".join(other))]
+    classes, links = brute_classes(rows)
+    got = linked(spark, rows)
+    assert {i: n for i, (_, n) in got.items()} == links and min(links.values()) >= 89
+    assert {i: c for i, (c, _) in got.items()} == classes and set(classes.values()) == {5}
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     r = random.Random(9)
