@@ -127,6 +127,26 @@ def test_jaccard_counts_all_links_of_a_large_group(spark):
     assert {i: c for i, (c, _) in got.items()} == classes and set(classes.values()) == {5}
 
 
+def passages(r):
+    """Texts of many sizes around one passage, growing texts, and a group of near copies."""
+    shared, long = prose(r, 70), prose(r, 300).split(" ")
+    rows = [(i, f"{prose(r, r.randint(2, 40))} {shared}") for i in range(60)]
+    rows += [(100 + i, " ".join(long[: 80 + 5 * i])) for i in range(40)]
+    base = prose(r, 200)
+    return rows + [(200 + i, edited(r, base, 1 + i % 5)) for i in range(40)]
+
+
+def test_jaccard_large_buckets_lose_no_link(spark, monkeypatch):
+    """Compared in small blocks, no set leaves a bucket before all its links there are known."""
+    for name, value in {"BRUTE": 6, "BLOCK": 5}.items():
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    rows = passages(random.Random(31))
+    classes, links = brute_classes(rows)
+    got = linked(spark, rows)
+    assert {i: n for i, (_, n) in got.items()} == links
+    assert {i: c for i, (c, _) in got.items()} == classes
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     r = random.Random(9)
