@@ -6,8 +6,8 @@ the Jaccard similarity of their sets is at least ``THRESHOLD``.
 Chosen paths: a set x follows a token j if a random hash of j is below
 ``1 / (THRESHOLD * |x|)``, so it takes 1.25 paths on average, and two similar
 sets share one with a fixed chance.  Runs with fresh hashes are repeated until
-the chance that no path is shared is below ``1 - RECALL``; a path that several
-runs choose is walked once.  All sets of a path are a bucket, and all pairs of
+the chance that no path is shared, or that the sketches below rule the pair
+out, is below ``1 - RECALL``; a path that several runs choose is walked once.  All sets of a path are a bucket, and all pairs of
 a bucket are compared: at once up to ``BRUTE`` sets, in a larger one block by
 block.  Blocks are of one class of sizes, and only blocks of the same or of
 neighbouring classes meet, as no other sizes can be as similar as the
@@ -47,7 +47,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Sets of a bucket that are compared at once; sets of a block, and tokens of a bucket or block that are held at once.
 BRUTE, BLOCK, TOKENS = 512, 1024, 1 << 22
 #: Minhash coordinates of a sketch, one byte each, and how many must agree for a pair to be verified.
-COORDS, AGREE = 64, 40
+COORDS, AGREE = 64, 38
 #: Of the hubs that there once were: nothing reads these, but a test still sets them.
 DEPTH, LEAVE = 0, 64
 
@@ -57,12 +57,20 @@ _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 _LINKS_DDL = "a binary, b binary, n long"
 
 
-def runs_for(recall: float = RECALL) -> int:
-    """Runs after which two sets at the threshold share no path with a chance of at most ``1 - recall``.
+def sketch_miss(threshold: float = THRESHOLD) -> float:
+    """The chance that the sketches of two sets at the threshold agree in fewer than ``AGREE`` coordinates."""
+    return sum(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(AGREE))
+
+
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Runs after which two sets at the threshold are missed, for want of a shared path or by their sketches, with a chance of at most ``1 - recall``.
 
     At worst one set holds the other, and one path is expected to be shared in each run.
     """
-    return math.ceil(math.log(1 / (1 - recall)))
+    left = 1 - recall - sketch_miss(threshold)
+    if left <= 0:
+        raise ValueError(f"sketches of {COORDS} coordinates allow no recall of {recall} at {threshold}")
+    return math.ceil(math.log(1 / left))
 
 
 def _constants(seed: int, n: int):
@@ -113,7 +121,7 @@ def sketch_of(tokens, odd, low) -> bytes:
 
 def nodes_of(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``doc_id, row_hash, node, size, sketch, paths``; ``node`` is a 128-bit digest of the shingle set."""
-    runs = runs_for(recall)
+    runs = runs_for(recall, threshold)
 
     def run(batches):
         import numpy as np

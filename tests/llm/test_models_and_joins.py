@@ -1,5 +1,6 @@
 """Toxicity, Jaccard join, secrets and the pipeline on small tables with odd rows."""
 
+import math
 import random
 import re
 import zlib
@@ -147,6 +148,17 @@ def test_jaccard_large_buckets_lose_no_link(spark, monkeypatch):
     assert {i: c for i, (c, _) in got.items()} == classes
 
 
+def test_jaccard_recall_over_all_steps(spark, monkeypatch):
+    """Paths and sketch together keep the recall at the threshold, in buckets of any size."""
+    sketch = sum(math.comb(jaccard_join.COORDS, k) * 0.8**k * 0.2 ** (jaccard_join.COORDS - k) for k in range(jaccard_join.AGREE))
+    assert math.exp(-jaccard_join.runs_for()) + sketch <= 1 - jaccard_join.RECALL
+    rows = passages(random.Random(32))
+    whole = linked(spark, rows)
+    for name, value in {"BRUTE": 3, "BLOCK": 4, "TOKENS": 900}.items():
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    assert linked(spark, rows) == whole
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     r = random.Random(9)
