@@ -15,9 +15,11 @@ log-likelihood ratio is divided by its number of words; a logistic curve,
 fitted on labelled documents that the models have not seen, makes it a score.
 
 What is gathered: pair counts of the labelled sample and, of every document,
-which words follow how many words (64-bit sketches by cell).  Words and pairs
-are addressed by hash in tables of 2**CELL_BITS cells, so the model that is
-broadcast has a fixed size (8 tables of 4 MB) at any size of the corpus.
+how many distinct words each word follows.  That count has a row for every word
+of the corpus; those of more than one are broadcast (12 bytes a word), as any
+other word follows one.  A word's predecessors are told apart by 40 bits.
+Words and pairs of the sample are addressed by hash in tables of 2**CELL_BITS
+cells (8 tables of 4 MB).
 ``MAX_LABELLED`` bounds the labelled rows that are used: those of the smallest
 hashes of their ids.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, texts
+from .common import checkpointed, emit, pieces, table, texts
 from .words import WORD_BATCH, Words
 
 #: Labelled rows that the models and the curve are fitted on, at most; one of FOLDS parts of them is for the curve.
@@ -49,7 +51,10 @@ CELLS = 1 << CELL_BITS
 _BEGIN = 0x9E3779B97F4A7C15
 
 _PAIRS = pa.schema([("toxic", pa.int32()), ("pair", pa.int64()), ("word", pa.int32()), ("before", pa.int32()), ("n", pa.int64())])
-_SEEN = pa.schema([("word", pa.int32()), ("seen", pa.int64())])
+#: Distinct pairs of some texts whose words are of one part: the words, how many pairs each has, and 40 bits of each pair.
+_SEEN = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
+_FOLLOWED = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+PART_BITS, HELD_WORDS = 12, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,40 +112,88 @@ def pair_counts(docs: DataFrame, sample: dict[int, int]) -> DataFrame:
 
 
 def followed(docs: DataFrame) -> DataFrame:
-    """``word, seen`` over all documents: which of 64 groups of words stand before a word's cell, as bits."""
+    """``word, n`` over all documents: how many distinct words (or beginnings) stand before each word, by its hash."""
 
     def run(batches):
-        import numpy as np
-
-        words, seen = Words(), np.zeros(CELLS * 64, dtype=bool)
+        words, held, n = Words(), [], 0
         for batch in batches:
             for part in pieces(batch, most=WORD_BATCH):
                 hashes, offsets = words.of(part["text"])
-                _, before = _pairs_of(hashes, offsets)
-                seen[_cell(hashes) * 64 + (before & np.uint64(63)).astype(np.int64)] = True
-        bits = np.packbits(seen, bitorder="little").view("<i8")
-        at = np.flatnonzero(bits)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].astype(np.int64))], schema=_SEEN)
+                held.append((hashes, _pairs_of(hashes, offsets)[0]))
+                n += len(hashes)
+                if n >= HELD_WORDS:
+                    yield from packed(held)
+                    held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    def packed(held):
+        import numpy as np
+
+        pair, first = np.unique(np.concatenate([p for _, p in held]), return_index=True)
+        hashes = np.concatenate([h for h, _ in held])[first]
+        order = np.argsort(hashes, kind="stable")
+        hashes, pair = hashes[order], pair[order]
+        parts = hashes >> np.uint64(64 - PART_BITS)
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        high, low = (pair >> np.uint64(32)).astype(np.uint32), (pair >> np.uint64(24)).astype(np.uint8)
+
+        def rows():
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                found, counts = np.unique(hashes[start:end], return_counts=True)
+                yield int(parts[start]), found.tobytes(), counts.astype(np.uint32).tobytes(), high[start:end].tobytes(), low[start:end].tobytes()
+
+        yield from emit(_SEEN, rows(), lambda r: sum(map(len, r[1:])))
+
+    def count(batches):
+        import numpy as np
+
+        for batch in batches:
+            for blobs in batch["blobs"].to_pylist():
+                words, counts, high, low = (np.frombuffer(b"".join(x[k] for x in blobs), dtype=t) for k, t in (("words", np.uint64), ("counts", np.uint32), ("high", np.uint32), ("low", np.uint8)))
+                words, pair = np.repeat(words, counts), high.astype(np.uint64) << np.uint64(8) | low
+                order = np.lexsort((pair, words))
+                words, pair = words[order], pair[order]
+                new = np.concatenate(([True], (words[1:] != words[:-1]) | (pair[1:] != pair[:-1])))
+                found, n = np.unique(words[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FOLLOWED)
 
-    return texts(docs).mapInArrow(run, "word int, seen long").groupBy("word").agg(F.bit_or("seen").alias("seen"))
+    seen = texts(docs).mapInArrow(run, "part int, words binary, counts binary, high binary, low binary")
+    return seen.groupBy("part").agg(F.collect_list(F.struct("words", "counts", "high", "low")).alias("blobs")).mapInArrow(count, "word long, n long")
 
 
 def _discount(n: Column) -> Column:
     return F.when(n > 2, D[2]).when(n > 1, D[1]).otherwise(D[0])
 
 
+def followed_table(docs: DataFrame):
+    """Sorted hashes of the words that follow more than one word, how many each follows, and the sum over all words."""
+    import numpy as np
+
+    rows = checkpointed(followed(docs))
+    total = rows.agg(F.sum("n")).first()[0] or 1
+    found = rows.filter("n > 1").toArrow()
+    hashes = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy()[order].astype(np.float32), float(total)
+
+
+def lowest(model: dict, hashes):
+    """``P(w)`` of every word: its share of the whole corpus's distinct pairs."""
+    import numpy as np
+
+    known, n = model["known"], model["followed"]
+    if not len(known):
+        return np.full(len(hashes), 1 / model["total"])
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, n[at], 1) / model["total"]
+
+
 def fit_models(docs: DataFrame, sample: dict[int, int]) -> dict:
     """The tables that a score needs, from the pairs of ``sample`` and the followed words of all ``docs``."""
     import numpy as np
 
-    shared = followed(docs).toArrow()
-    empty = 64 - np.array([int(x).bit_count() for x in shared["seen"].to_numpy().view(np.uint64).tolist()])
-    spread = np.full(CELLS, 0.5)
-    spread[shared["word"].to_numpy()] += 64 * np.log(64 / np.maximum(empty, 0.5))
-    lowest = spread / spread.sum()
-
+    known, n, total = followed_table(docs)
     counts = pair_counts(docs, sample).persist()
     by_word = counts.groupBy("toxic", F.col("word").alias("cell")).agg(F.count("*").alias("k")).toArrow()
     by_before = counts.groupBy("toxic", F.col("before").alias("cell")).agg(F.sum("n").alias("n"), F.sum(_discount(F.col("n"))).alias("off")).toArrow()
@@ -148,20 +201,20 @@ def fit_models(docs: DataFrame, sample: dict[int, int]) -> dict:
     by_pair = counts.filter("n > 1").groupBy("toxic", cell.alias("cell")).agg(F.sum(F.col("n") - _discount(F.col("n"))).alias("n")).toArrow()
     counts.unpersist()
 
-    model = {}
+    model = {"known": known, "followed": n, "total": total}
     for c in (0, 1):
         of = lambda t, name: t[name].to_numpy()[t["toxic"].to_numpy() == c]  # noqa: B023, E731
         k = np.zeros(CELLS)
         k[of(by_word, "cell")] = of(by_word, "k")
-        total, off = max(k.sum(), 1.0), np.where(k > 2, D[2], np.where(k > 1, D[1], k * D[0]))
-        word = (k - off) / total + (off.sum() / total if k.any() else 1.0) * lowest
+        of_class, off = max(k.sum(), 1.0), np.where(k > 2, D[2], np.where(k > 1, D[1], k * D[0]))
+        word, share = (k - off) / of_class, off.sum() / of_class if k.any() else 1.0
         n, back = np.zeros(CELLS), np.ones(CELLS)
         at = of(by_before, "cell")
         n[at] = of(by_before, "n")
         back[at] = of(by_before, "off") / n[at]
         pair = np.zeros(CELLS)
         pair[of(by_pair, "cell")] = of(by_pair, "n")
-        model |= {f"word{c}": word.astype(np.float32), f"back{c}": back.astype(np.float32), f"inverse{c}": np.where(n > 0, 1 / np.maximum(n, 1), 0).astype(np.float32), f"pair{c}": pair.astype(np.float32)}
+        model |= {f"share{c}": float(share), f"word{c}": word.astype(np.float32), f"back{c}": back.astype(np.float32), f"inverse{c}": np.where(n > 0, 1 / np.maximum(n, 1), 0).astype(np.float32), f"pair{c}": pair.astype(np.float32)}
     return model
 
 
@@ -170,9 +223,10 @@ def ratios(model: dict, hashes, offsets):
     import numpy as np
 
     pair, before = _pairs_of(hashes, offsets)
-    w, h, p = _cell(hashes), _cell(before), _cell(pair)
-    of = lambda c: model[f"pair{c}"][p] * model[f"inverse{c}"][h] + model[f"back{c}"][h] * model[f"word{c}"][w]
-    return np.log(of(1)) - np.log(of(0)), np.log(model["word1"][w]) - np.log(model["word0"][w])
+    w, h, p, low = _cell(hashes), _cell(before), _cell(pair), lowest(model, hashes)
+    word = [model[f"word{c}"][w] + model[f"share{c}"] * low for c in (0, 1)]
+    of = lambda c: model[f"pair{c}"][p] * model[f"inverse{c}"][h] + model[f"back{c}"][h] * word[c]
+    return np.log(of(1)) - np.log(of(0)), np.log(word[1]) - np.log(word[0])
 
 
 def signs(docs: DataFrame, model) -> DataFrame:

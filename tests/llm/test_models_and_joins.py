@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from pathloom.llm import jaccard_join, line_dedup, packing, secrets, toxicity
 
@@ -206,6 +208,23 @@ def test_labels_of_held_out_rows_are_not_used(judged):
     assert a == b
 
 
+def test_followed_counts_are_exact(spark):
+    """A word after 700 others, one after two and one after itself are told apart, at any number of words."""
+    rows = [(i, f"before{i} often mid{i} rare") for i in range(700)] + [(1000, "other seldom more seldom other seldom"), (1001, "echo echo echo"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    expected = {}
+    for _, text in rows:
+        w = (text or "").split()
+        for a, b in zip([None, *w], w, strict=False):
+            expected.setdefault(b, set()).add(a)
+    got = {r["word"] % 2**64: r["n"] for r in toxicity.followed(docs).collect()}
+    assert got == {xxhash.xxh3_64_intdigest(w): len(b) for w, b in expected.items()}
+    known, n, total = toxicity.followed_table(docs)
+    model = {"known": known, "followed": n, "total": total}
+    share = toxicity.lowest(model, np.array([xxhash.xxh3_64_intdigest(w) for w in ("often", "seldom", "mid3")], dtype=np.uint64))
+    assert (share * sum(map(len, expected.values()))).round(3).tolist() == [700, 2, 1]
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train_forest(secrets.findings_frame(spark, secrets.labelled_findings()))
