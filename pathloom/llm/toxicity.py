@@ -123,15 +123,27 @@ def followed(docs: DataFrame) -> DataFrame:
                 n += len(hashes)
                 if n >= HELD_WORDS:
                     yield from packed(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from packed(held)
 
     def packed(held):
         import numpy as np
 
-        pair, first = np.unique(np.concatenate([p for _, p in held]), return_index=True)
-        hashes = np.concatenate([h for h, _ in held])[first]
+        hashes, pair = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        # An eighth of the words at a time, so that the copies made here stay small.
+        for k in range(8):
+            mine = hashes >> np.uint64(61) == k
+            if mine.any():
+                yield from slice_of(hashes[mine], pair[mine])
+        pa.default_memory_pool().release_unused()
+
+    def slice_of(hashes, pair):
+        import numpy as np
+
+        pair, first = np.unique(pair, return_index=True)
+        hashes = hashes[first]
         order = np.argsort(hashes, kind="stable")
         hashes, pair = hashes[order], pair[order]
         parts = hashes >> np.uint64(64 - PART_BITS)
