@@ -146,17 +146,54 @@ def test_safe_boundaries(text, size):
 @given(st.lists(st.tuples(st.text(alphabet="a\\n\n<|s>[/INST]", max_size=8), st.one_of(st.text(max_size=20), st.sampled_from(chat.CONTROL), st.text(alphabet="<|/s>[]INST\\ im_endstar", max_size=30))), max_size=6))
 def test_chat_round_trip(turns):
     whole = chat.chatml(turns)
-    spans = chat.turn_spans(chat.chatml, turns)
-    assert spans == chat.turn_spans(chat.chatml, turns, 2) and [chat.parse_chatml(whole[a:b])[:2] for a, b in spans] == turns
+    spans = list(chat.rendered(chat.CHATML, iter(turns), lambda t: True))
+    assert [s.added for s in spans] == [chat.chatml([t]) for t in turns] and "".join(s.added for s in spans) == whole
+    assert [s.kept for s in spans] == [len(chat.chatml(turns[:k])) for k in range(len(turns))] and not any(s.rewritten for s in spans)
+    assert [chat.parse_chatml(s.added) for s in spans] == turns
+    assert [chat.unescape(s.added[s.start : s.end]) for s in spans] == [t for _, t in turns]
     for c in chat.CONTROL[2:]:
         assert c not in whole
     assert whole.count(chat.OPEN) == whole.count(chat.CLOSE) == len(turns)
 
 
-def test_chat_rewriting_template_is_told():
+def test_chat_long_conversations_stream(monkeypatch):
+    turns = [("assistant" if i % 3 else "user", f"<s>turn {i}\\" * (i % 4)) for i in range(60)]
+    whole = list(chat.rendered(chat.CHATML, iter(turns), chat.is_assistant))
+    monkeypatch.setattr(chat, "FULL", 20)
+    assert list(chat.rendered(chat.CHATML, iter(turns), chat.is_assistant)) == whole
+
+
+def rebuilt(spans):
+    out = ""
+    for s in spans:
+        out = out[: s.kept] + s.added
+    return out
+
+
+def test_chat_rewriting_templates_are_told():
+    turns = [("user", "aaa"), ("assistant", "bb"), ("user", "aaa"), ("assistant", "d"), ("user", "e"), ("assistant", "f"), ("user", "g"), ("assistant", "bb")]
     moving = lambda turns: "".join(f"[{r}]{t}" for r, t in turns[:-1]) + (f"[last {turns[-1][0]}]{turns[-1][1]}" if turns else "")
-    with pytest.raises(chat.HistoryRewritten):
-        chat.turn_spans(moving, [("user", "a"), ("assistant", "b"), ("user", "c")])
+    # older than five turns: the text is left out
+    short = lambda turns: "".join(f"[{r}]{t if i >= len(turns) - 5 else ''}" for i, (r, t) in enumerate(turns))
+    numbered = lambda turns: "".join(f"{i}:{r}>{t};" for i, (r, t) in enumerate(turns))
+    for render, told in ((moving, [1, 2, 3, 4, 5, 6, 7]), (short, [5, 6, 7]), (numbered, [])):
+        spans = list(chat.rendered(chat.Template(render), iter(turns), chat.is_assistant))
+        assert [i for i, s in enumerate(spans) if s.rewritten] == told and rebuilt(spans) == render(turns)
+        for s, (role, text) in zip(spans, turns, strict=True):
+            assert s.start is None if role == "user" or s.rewritten else s.added[s.start : s.end] == text
+    with pytest.raises(ValueError):
+        list(chat.rendered(chat.Template(short, independent=True), iter(turns)))
+    for render in (lambda turns: "".join(f"<{r}>" for r, _ in turns), lambda turns: "".join(f"<{r}>{t}{t}" for r, t in turns)):
+        assert [s.start for s in chat.rendered(chat.Template(render), iter(turns[:2]), chat.is_assistant)] == [None, None]
+
+
+def test_chat_any_template_in_a_table(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"t{i}") for c in (1, 2) for i in range(7 if c == 1 else 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    short = chat.Template(lambda turns: "".join(f"[{r}]{t if i >= len(turns) - 5 else ''}" for i, (r, t) in enumerate(turns)))
+    got = chat.format_turns(df, short).collect()
+    assert {(r["conv_id"], r["turn_no"]) for r in got if r["rewritten"]} == {(1, 5), (1, 6)}
+    assert {(r["conv_id"], r["turn_no"]) for r in got if r["in_loss"]} == {(1, 1), (1, 3), (2, 1)}
 
 
 def test_chat_table(spark):
