@@ -15,7 +15,7 @@ opened.
 
 Defined cases: a null source or cluster never conflicts; a null or empty text
 has size 0 and still gets a bin; equal rows are placed each for itself; a null
-id is an ordinary id.
+id is an ordinary id, before all others; ids and clusters of any size stay exact.
 """
 
 from __future__ import annotations
@@ -64,13 +64,14 @@ def _pack_shard(capacity: int):
         import pandas as pd
 
         shard = int(key[0])
-        pdf = pdf.sort_values(["rest", "doc_id", "row_hash"], ascending=[False, True, True], kind="stable", na_position="first")
+        pdf = pdf.sort_values(["rest", "known", "id", "row_hash"], ascending=[False, True, True, True], kind="stable")
         # a cluster that stands once in the shard cannot conflict and needs no bit
         twice = pdf["cluster"].duplicated(keep=False) & pdf["cluster"].notna()
         clusters = [c if t else None for c, t in zip(pdf["cluster"].tolist(), twice.tolist(), strict=True)]
         sources = [None if x is None or x != x else x for x in pdf["source"].tolist()]
-        sizes = pdf["rest"].astype("int64").tolist()
-        rows, ids, full = [], pdf["doc_id"].tolist(), pdf["full"].astype("int64").tolist()
+        sizes = pdf["rest"].tolist()
+        rows, full = [], pdf["full"].tolist()
+        ids = [i if known else None for i, known in zip(pdf["id"].tolist(), pdf["known"].tolist(), strict=True)]
         open_rows = [i for i in range(len(pdf)) if sizes[i] or not full[i]]
         for i, (b, slot) in zip(open_rows, best_fit([(sizes[i], sources[i], clusters[i]) for i in open_rows], capacity), strict=True):
             rows.append((ids[i], full[i], b, slot, full[i] * capacity, sizes[i]))
@@ -80,7 +81,7 @@ def _pack_shard(capacity: int):
                 rows.append((ids[i], k, own, 0, k * capacity, capacity))
                 own += 1
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "bin_id", "slot", "start", "length"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
         out["bin_id"] = out["bin_id"].astype("int64") + (shard << 32)
         return out
 
@@ -94,12 +95,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
     default cluster is the group of equal texts.
     """
     text = text_of(docs)
+    # no null number reaches pandas, which would make floats of the column
+    doc_id = docs["doc_id"].cast("long")
     rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), (docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source"),
-        (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"), F.xxhash64(text).alias("row_hash"), F.length(text).cast("long").alias("n"),
+        F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNotNull().alias("known"), (docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source"),
+        (F.xxhash64(text) if cluster is None else cluster).cast("string").alias("cluster"), F.xxhash64(text).alias("row_hash"), F.length(text).cast("long").alias("n"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    dealt = rows.select("doc_id", "source", "cluster", "row_hash", F.floor(F.col("n") / capacity).cast("long").alias("full"), (F.col("n") % capacity).alias("rest"), F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = rows.select("id", "known", "source", "cluster", "row_hash", F.floor(F.col("n") / capacity).cast("long").alias("full"), (F.col("n") % capacity).alias("rest"), F.pmod(F.xxhash64("id", "known", "row_hash"), F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), _OUT)
 
 

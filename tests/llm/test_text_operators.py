@@ -126,6 +126,23 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null(spark):
+    """Ids and clusters over 2**53 stay exact where others are null; near duplicates, given as clusters, never share a bin."""
+    big = 2**53
+    rows = [(None, "x" * 30, "a", None), (None, "", None, big + 1), *((big + k, "y" * (10 + k), f"s{k}", big + 1 + k // 2 * 2) for k in range(1, 40, 2)), (2**63 - 1, None, None, None), (-(2**63), "z", "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster long").repartition(3)
+    for cluster in (None, df["cluster"]):
+        got = packing.pack_documents(df, capacity=100, cluster=cluster).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        assert {r["doc_id"]: r["length"] for r in got if r["doc_id"] is not None} == {i: len(t or "") for i, t, *_ in rows if i is not None}
+    pairs = [(k, "w" * 10, None, k // 2) for k in range(20)]
+    twins = spark.createDataFrame(pairs, "doc_id long, text string, source string, cluster long")
+    bins = defaultdict(list)
+    for r in packing.pack_documents(twins, capacity=100, cluster=twins["cluster"]).collect():
+        bins[r["bin_id"]].append(r["doc_id"] // 2)
+    assert len(bins) == 2 and all(len(set(b)) == len(b) == 10 for b in bins.values())
+
+
 def test_bpe(odd, none):
     codec = bpe._codec(*bpe._defaults(None, None))
     got = bpe.decode_tokens(bpe.encode_documents(odd)).collect()
