@@ -43,6 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder as Parquet, for several readers, and where it lies."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def thrown_away(spark: SparkSession, path: str) -> None:
+    """Deletes what ``stored`` wrote, once nothing will read it again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
     """The text as a string that is never null."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

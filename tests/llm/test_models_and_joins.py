@@ -208,21 +208,108 @@ def test_labels_of_held_out_rows_are_not_used(judged):
     assert a == b
 
 
+def hashed(w):
+    return xxhash.xxh3_64_intdigest(w)
+
+
+def words_in(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def followed_by(texts, known):
+    """Distinct words or beginnings before each known word, and before any other."""
+    seen = {w: set() for w in [*known, None]}
+    for text in texts:
+        w = words_in(text)
+        for a, b in zip([None, *w], w, strict=False):
+            seen[b if b in seen else None].add((a, b))
+    return {w: len(s) for w, s in seen.items()}
+
+
 def test_followed_counts_are_exact(spark):
-    """A word after 700 others, one after two and one after itself are told apart, at any number of words."""
+    """A word after 700 others, one after two and one after itself are told apart; hot words are counted in several parts."""
     rows = [(i, f"before{i} often mid{i} rare") for i in range(700)] + [(1000, "other seldom more seldom other seldom"), (1001, "echo echo echo"), (1002, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    expected = {}
-    for _, text in rows:
-        w = (text or "").split()
-        for a, b in zip([None, *w], w, strict=False):
-            expected.setdefault(b, set()).add(a)
-    got = {r["word"] % 2**64: r["n"] for r in toxicity.followed(docs).collect()}
-    assert got == {xxhash.xxh3_64_intdigest(w): len(b) for w, b in expected.items()}
-    known, n, total = toxicity.followed_table(docs)
-    model = {"known": known, "followed": n, "total": total}
-    share = toxicity.lowest(model, np.array([xxhash.xxh3_64_intdigest(w) for w in ("often", "seldom", "mid3")], dtype=np.uint64))
-    assert (share * sum(map(len, expected.values()))).round(3).tolist() == [700, 2, 1]
+    known = sorted(["often", "rare", "seldom", "echo"], key=hashed)
+    want = followed_by([t for _, t in rows], known)
+    for hot in ([False] * 4 + [True], [True] * 5):
+        got = toxicity.followed(docs, np.array([hashed(w) for w in known], dtype=np.uint64), np.array(hot))
+        assert got.tolist() == [want[w] for w in [*known, None]] and want["often"] == 700 and want["echo"] == 2
+
+
+def brute_kneser_ney(texts, sampled):
+    """Each text's mean log ratio under the pair models and their lower order, by dictionaries; checks that every distribution sums to 1."""
+    n, k = [{}, {}], [{}, {}]
+    for text, c in sampled:
+        w = words_in(text)
+        for pair in {*zip([None, *w], w, strict=False)}:
+            n[c][pair] = n[c].get(pair, 0) + 1
+    for c in (0, 1):
+        for _, w in n[c]:
+            k[c][w] = k[c].get(w, 0) + 1
+    of_before = [{}, {}]
+    for c in (0, 1):
+        for (h, _), x in n[c].items():
+            of_before[c][h] = of_before[c].get(h, 0) + x
+    many = 3 * math.sqrt(toxicity.LEAST)
+    most = {}
+    for c in (0, 1):
+        for w, x in k[c].items():
+            most[w] = max(most.get(w, 0), x)
+        for (_, w), x in n[c].items():
+            most[w] = max(most[w], x)
+    known = [w for w, x in most.items() if x > many]
+    counts = followed_by(texts, known)
+    total = sum(counts.values())
+    shared = {w: x / total for w, x in counts.items()}
+    size = [sum(k[c].values()) for c in (0, 1)]
+    off = lambda x: toxicity.D[min(x, 3) - 1] if x else 0.0
+    freed = [sum(map(off, k[c].values())) / size[c] for c in (0, 1)]
+    alone = [{w: (k[c].get(w, 0) - off(k[c].get(w, 0))) / size[c] + freed[c] * shared[w] for w in known} for c in (0, 1)]
+    left = lambda x, e, r: max(x - 2 * e - 3 * math.sqrt((e + toxicity.LEAST) * (1 + r)), 0)
+    extra = [{w: left(k[c].get(w, 0), size[c] * alone[1 - c][w], size[c] / size[1 - c]) for w in known} for c in (0, 1)]
+    back = [1 - sum(extra[c].values()) / size[c] for c in (0, 1)]
+    lower = [{w: (extra[c].get(w, 0)) / size[c] + back[c] * shared[w] for w in counts} for c in (0, 1)]
+    assert all(abs(sum(x.values()) - 1) < 1e-9 for x in lower)
+    direct, rest = [{}, {}], [{}, {}]
+    for pair in {*n[0], *n[1]}:
+        h, w = pair
+        if max(n[0].get(pair, 0), n[1].get(pair, 0)) <= many:
+            continue
+        for c in (0, 1):
+            b, o = (of_before[x].get(h, 0) for x in (c, 1 - c))
+            expected = b * (n[1 - c].get(pair, 0) + 10 * max(lower[0][w], lower[1][w])) / (o + 10)
+            direct[c][pair] = left(n[c].get(pair, 0), expected, b / max(o, 1)) / max(b, 1)
+            rest[c][h] = rest[c].get(h, 1.0) - direct[c][pair]
+    out = []
+    for text in texts:
+        w = words_in(text)
+        after = alone_ = 0.0
+        for pair in zip([None, *w], w, strict=False):
+            low = [lower[c][pair[1] if pair[1] in lower[c] else None] for c in (0, 1)]
+            of = [direct[c].get(pair, 0) + rest[c].get(pair[0], 1.0) * low[c] for c in (0, 1)]
+            after, alone_ = after + math.log(of[1] / of[0]), alone_ + math.log(low[1] / low[0])
+        out.append((after / max(len(w), 1), alone_ / max(len(w), 1)))
+    return out
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    r = random.Random(17)
+    rows = []
+    for i in range(500):
+        w = prose(r, r.randint(5, 60)).split(" ")
+        for _ in range(len(w) // 12 if i % 3 == 0 else 0):
+            at = r.randrange(len(w))
+            w[at : at + 2] = r.choice([["muckhead"], ["you", "dolthog"], ["vile", "lot"]])
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, "Muckhead! muckhead, you dolthog"), (902, "never met before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sample = {i: int(i % 3 == 0) for i in range(0, 500) if i % 5}
+    model = toxicity.fit_models(docs, sample)
+    got = {x["doc_id"]: (x["after"], x["alone"]) for x in toxicity.likelihoods(docs, spark.sparkContext.broadcast(model)).collect()}
+    want = dict(zip((i for i, _ in rows), brute_kneser_ney([t for _, t in rows], [(t, sample[i]) for i, t in rows if i in sample]), strict=True))
+    assert len(model["pair"]) > 3 and all(np.allclose(got[i], want[i], atol=1e-9) for i in want)
+    assert got[901][0] > 1 and got[901][1] > 0.5 and got[900] == (0.0, 0.0)
 
 
 @pytest.fixture(scope="module")
