@@ -1,11 +1,12 @@
 """Document fingerprints by spot signatures, in DataFrame functions only.
 
-A signature is the hash of an anchor (a common word) and the chain of the
-``CHAIN`` content words that follow it; content words are those that are no
-anchors.  A text's fingerprint is its sorted set of distinct signatures,
-8 hex digits each.  Two sets are compared by Jaccard; a pair whose lengths
-alone keep it below ``LEAST`` lies in length partitions too far apart and is
-pruned to 0 before any signature is looked at.
+A signature is an anchor (a common word) and the chain of the ``CHAIN`` content
+words that follow it; content words are those that are no anchors.  A text's
+fingerprint is its sorted set of distinct signatures, and two are compared by
+the Jaccard of the sets, told apart by 64-bit hashes.  Sets are put into
+partitions by length; where a caller asks for pairs of at least some likeness
+only, those whose partitions or lengths lie too far apart for it are pruned
+before any signature is looked at.
 
 A text with no anchor before two content words falls back to the set of its
 word pairs, then of its words, then to the hash of the text, so unlike short
@@ -19,6 +20,8 @@ own next one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,6 @@ ANCHORS = {
     "es": "el los las del una por con su para al lo como o este".split(),
 }
 CHAIN = 2
-#: Likeness below which the lengths of two sets alone prune a pair.
-LEAST = 0.1
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -41,14 +42,17 @@ def anchors() -> list[str]:
     return sorted({w for ws in ANCHORS.values() for w in ws})
 
 
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+
+
 def _marked(text: Column) -> Column:
     """Words joined by spaces, each content word after a mark."""
-    words = F.split(F.lower(text), SEPARATORS)
-    return F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors()), w).otherwise(F.concat(F.lit("\x01"), w))), " ")
+    return F.array_join(F.transform(words_of(text), lambda w: F.when(w.isin(anchors()), w).otherwise(F.concat(F.lit("\x01"), w))), " ")
 
 
 def with_signatures(rows: DataFrame, text: str, to: str) -> DataFrame:
-    """``rows`` with the array ``to``: the sorted distinct signatures of column ``text``."""
+    """``rows`` with the array ``to``: the distinct signatures of column ``text``, each its words joined by spaces."""
     # a piece is one content word and the anchors up to the next one
     cut = rows.withColumn("_pieces", F.split(_marked(F.col(text)), "\x01"))
     heads = cut.withColumn("_heads", F.transform("_pieces", lambda p: F.substring_index(p, " ", 1)))
@@ -56,31 +60,39 @@ def with_signatures(rows: DataFrame, text: str, to: str) -> DataFrame:
 
     def of_piece(p: Column, i: Column) -> Column:
         after = F.filter(F.slice(F.split(p, " "), F.when(i == 0, 1).otherwise(2), F.length(p) + 1), lambda a: a != "")
-        return F.when(i < n - CHAIN, F.transform(after, lambda a: F.hash(a, F.get("_heads", i + 1), F.get("_heads", i + 2)))).otherwise(F.array().cast("array<int>"))
+        return F.when(i < n - CHAIN, F.transform(after, lambda a: F.concat_ws(" ", a, F.get("_heads", i + 1), F.get("_heads", i + 2)))).otherwise(F.array().cast("array<string>"))
 
     spots = heads.withColumn("_spots", F.flatten(F.transform("_pieces", of_piece)))
-    words = F.array_remove(F.split(F.lower(F.col(text)), SEPARATORS), "")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), F.hash(a, b)))
-    backup = F.when(F.size(words) > 1, F.array_compact(pairs)).when(F.size(words) == 1, F.array(F.hash(F.get(words, F.lit(0))))).otherwise(F.array(F.hash(F.col(text))))
+    words = words_of(F.col(text))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    backup = F.when(F.size(words) > 1, F.array_compact(pairs)).when(F.size(words) == 1, words).otherwise(F.array(F.sha2(F.col(text), 256)))
     found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(backup)
-    return spots.withColumn(to, F.array_sort(F.array_distinct(found))).drop("_pieces", "_heads", "_spots")
+    return spots.withColumn(to, F.array_distinct(found)).drop("_pieces", "_heads", "_spots")
 
 
 def fingerprint(signatures: Column) -> Column:
-    return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """A digest of the sorted set of signatures."""
+    return F.sha2(F.array_join(F.array_sort(signatures), "\n"), 256)
 
 
-def length_partition(signatures: Column, least: float = LEAST) -> Column:
-    """Partition of a set by its length; sets with a Jaccard of ``least`` or more are in the same or neighbouring ones."""
-    return F.floor(F.log(F.size(signatures)) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+def hashes(signatures: Column) -> Column:
+    return F.transform(signatures, lambda s: F.xxhash64(s))
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard of two signature sets, 0 where their partitions are no neighbours or their lengths keep it below ``least``."""
-    apart = F.abs(length_partition(a, least) - length_partition(b, least)) > 1
-    bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
+def length_partition(signatures: Column) -> Column:
+    """Partition of a set by its length: the powers of two up to it."""
+    return F.length(F.bin(F.size(signatures))) - 1
+
+
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard of two sets of signatures (or of their hashes); 0 where their partitions or lengths alone keep it below ``least``."""
     both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when(apart | (bound < least), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    exact = both / (F.size(a) + F.size(b) - both)
+    if least <= 0:
+        return exact
+    apart = F.abs(length_partition(a) - length_partition(b)) > math.ceil(math.log2(1 / least))
+    bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
+    return F.when(apart | (bound < least), F.lit(0.0)).otherwise(exact)
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -106,7 +118,7 @@ def _key(doc: str, row: str) -> list[Column]:
 
 
 def compare_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
-    """Every document beside its next one: texts, edited text and the three signature sets.
+    """Every document beside its next one: texts, edited text, the signatures of both, and the hashes of the next one's.
 
     The text with its last ``1/share`` replaced by as much of the next
     document's beginning is the edited text.
@@ -118,18 +130,46 @@ def compare_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
     links = chain.select(*_key("doc_id", "row_hash"), "p_doc", "p_row", "p_n")
     key = ["k_doc", "k_null", "k_row"]
     sent = with_signatures(keyed.join(links, key), "text", "next_signatures")
-    sent = sent.select("p_doc", "p_row", F.expr(f"left(text, cast(p_n div {share} as int))").alias("prefix"), "next_signatures")
-    sent = sent.select(*_key("p_doc", "p_row"), "prefix", "next_signatures").dropDuplicates(key)
+    sent = sent.select("p_doc", "p_row", F.expr(f"left(text, cast(p_n div {share} as int))").alias("prefix"), hashes(F.col("next_signatures")).alias("next_hashes"))
+    sent = sent.select(*_key("p_doc", "p_row"), "prefix", "next_hashes").dropDuplicates(key)
     both = keyed.join(sent, key)
     n = F.length("text")
     edited = both.withColumn("edited", F.concat(F.expr(f"left(text, length(text) - cast(length(text) div {share} as int))"), F.col("prefix")))
     signed = with_signatures(with_signatures(edited, "text", "signatures"), "edited", "edited_signatures")
-    return signed.select(F.when(~F.col("k_null"), F.col("k_doc")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "edited", "signatures", "edited_signatures", "next_signatures")
+    return signed.select(F.when(~F.col("k_null"), F.col("k_doc")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "edited", "signatures", "edited_signatures", "next_hashes")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = compare_with_next(table(spark, sf_dir, "documents"))
-    return c.select(
+    own = F.col("own_hashes")
+    return c.withColumn("own_hashes", hashes(F.col("signatures"))).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("signatures")).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), F.size("signatures").alias("n_signatures"), length_partition(F.col("signatures")).alias("length_partition"),
+        likeness(own, hashes(F.col("edited_signatures"))).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"), F.size("signatures").cast("long").alias("n_signatures"), length_partition(F.col("signatures")).cast("long").alias("length_partition"),
     )
+
+
+_ANCHORS = ", ".join(f"'{a}'" for a in anchors())
+OP5_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as after from d),
+e as (select *, left(text, length(text) - length(text) // 4) || left(after, length(text) // 4) as edited from n),
+t as (select doc_id, 0 as kind, text from e union all select doc_id, 1, edited from e),
+w as (select doc_id, kind, text, list_filter(string_split_regex(lower(text), '{SEPARATORS}'), lambda x: x <> '') as ws from t),
+p as (select doc_id, kind, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+c as (select *, word in ({_ANCHORS}) as anchor, sum((word not in ({_ANCHORS}))::int) over (partition by doc_id, kind order by pos) as rank from p),
+spots as (
+  select a.doc_id, a.kind, a.word || ' ' || x.word || ' ' || y.word as s from c a
+  join c x on x.doc_id = a.doc_id and x.kind = a.kind and x.rank = a.rank + 1 and not x.anchor
+  join c y on y.doc_id = a.doc_id and y.kind = a.kind and y.rank = a.rank + 2 and not y.anchor where a.anchor),
+chains as (select doc_id, kind, list(distinct s) as s from spots group by all),
+sets as (
+  select w.doc_id, w.kind, list_sort(list_distinct(coalesce(chains.s, case when len(ws) > 1 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) when len(ws) = 1 then ws else [sha256(text)] end))) as s
+  from w left join chains on chains.doc_id = w.doc_id and chains.kind = w.kind),
+own as (select e.doc_id, text, edited, s.s as s, coalesce(lead(s.s) over (order by e.doc_id), first_value(s.s) over (order by e.doc_id)) as s_after, x.s as s_edited
+  from e join sets s on s.doc_id = e.doc_id and s.kind = 0 join sets x on x.doc_id = e.doc_id and x.kind = 1)
+select doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited_sha256, sha256(array_to_string(s, chr(10))) as fingerprint, sha256(array_to_string(s_edited, chr(10))) as edited_fingerprint,
+  len(list_intersect(s, s_edited)) / cast(len(list_distinct(list_concat(s, s_edited))) as double) as near_edited,
+  len(list_intersect(s, s_after)) / cast(len(list_distinct(list_concat(s, s_after))) as double) as near_next,
+  cast(len(s) as bigint) as n_signatures, cast(length(bin(len(s))) - 1 as bigint) as length_partition
+from own
+"""

@@ -292,47 +292,56 @@ def test_notices_with_changes(spark):
 
 
 def spot_signatures(text):
-    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower())]
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower()) if w]
     stop = set(fingerprints.anchors())
     chains = set()
     for i, w in enumerate(words):
-        if w in stop:
-            after = [x for x in words[i + 1 :] if x not in stop][:2]
-            if len(after) == 2:
-                chains.add((w, *after))
-    return chains
+        after = [x for x in words[i + 1 :] if x not in stop][:2] if w in stop else []
+        if len(after) == 2:
+            chains.add(" ".join([w, *after]))
+    return chains or {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words) or {hashlib.sha256(text.encode()).hexdigest()}
+
+
+def digest_of(signatures):
+    return hashlib.sha256("\n".join(sorted(signatures, key=str.encode)).encode()).hexdigest()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
 
 
 def test_signatures(spark):
-    texts = ["the cat sat on the mat and the dog barked at a tree.", "der Hund und die Katze laufen nach Hause", "no anchor words", "", "one", "the", "the cat sat on the mat"]
+    texts = ["the cat sat on the mat and the dog barked at a tree.", "der Hund und die Katze laufen nach Hause", "no anchor words", "", "...", "one", "the", "the cat sat on the mat", "the " * 5000 + "cow stood"]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {r["k"]: r["s"] for r in fingerprints.with_signatures(df, "text", "s").collect()}
-    for k, t in enumerate(texts):
-        if spot_signatures(t):
-            assert len(got[k]) == len(spot_signatures(t)), t
-    assert len({tuple(v) for v in got.values()}) == len(texts)
+    assert all(len(got[k]) == len(set(got[k])) and set(got[k]) == spot_signatures(t) for k, t in enumerate(texts))
+    assert len({tuple(sorted(v)) for v in got.values()}) == len(texts)
 
 
 def test_likeness_and_pruning(spark):
-    rows = [([1, 2, 3, 4], [3, 4, 5]), ([1], list(range(30))), (list(range(10)), list(range(100))), ([7], [7]), ([1], [2])]
+    rows = [([1, 2, 3, 4], [3, 4, 5]), ([1], list(range(30))), (list(range(10)), list(range(100))), ([7], [7]), ([1], [2]), ([0, 1], list(range(30)))]
     df = spark.createDataFrame(rows, "a array<int>, b array<int>")
-    got = [r[0] for r in df.select(fingerprints.likeness(df["a"], df["b"])).collect()]
-    assert got == [2 / 5, 0.0, 0.1, 1.0, 0.0]
-    assert [r[0] for r in df.select(fingerprints.fingerprint(df["a"])).limit(1).collect()] == ["00000001000000020000000300000004"]
-
-
-def test_fingerprints(odd, none):
-    got = fingerprints.compare_with_next(odd).collect()
-    texts = sorted({(i is not None, i or 0, t) for i, t in rows_of(odd)})
-    ids = [x for x in texts if x[1] != 0 or x[0]]
-    assert len(got) == odd.count()
-    by = {(r["doc_id"], r["text"]): r for r in got}
-    unique = [(i, t) for ok, i, t in ids if ok and i not in (103,)]
-    for (i, t), (j, u) in zip(unique, unique[1:], strict=False):
-        if j - i == 1 and i not in (102,):
-            k = len(t) // 4
-            assert by[(i, t)]["edited"] == t[: len(t) - k] + u[:k]
+    assert [r[0] for r in df.select(fingerprints.likeness(df["a"], df["b"])).collect()] == [jaccard(set(a), set(b)) for a, b in rows]
+    for least in (0.05, 0.1, 0.4, 0.8):
+        got = [r[0] for r in df.select(fingerprints.likeness(df["a"], df["b"], least)).collect()]
+        assert all(x == jaccard(set(a), set(b)) if jaccard(set(a), set(b)) >= least else x in (0.0, jaccard(set(a), set(b))) for x, (a, b) in zip(got, rows, strict=True))
+
+
+def test_fingerprints_equal_brute_force(odd, none, spark, tmp_path):
+    """Every column of the query, on odd rows: null and repeated ids, equal rows, empty and very long texts."""
+    import xxhash
+
+    order = sorted(set(rows_of(odd)), key=lambda x: (x[0] is not None, x[0] or 0, (xxhash.xxh64_intdigest(x[1].encode(), 42) + 2**63) % 2**64))
+    after = {x: order[(k + 1) % len(order)][1] for k, x in enumerate(order)}
+    want = []
+    for i, t in rows_of(odd):
+        u, k = after[i, t], len(t) // 4
+        edited = t[: len(t) - k] + u[:k]
+        own, new = spot_signatures(t), spot_signatures(edited)
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), digest_of(own), digest_of(new), jaccard(own, new), jaccard(own, spot_signatures(u)), len(own), len(own).bit_length() - 1))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.op5_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert fingerprints.compare_with_next(none).count() == 0
-    one = odd.filter("doc_id = 201")
-    r = fingerprints.compare_with_next(one).first()
-    assert r["signatures"] == r["next_signatures"] and r["edited"] == r["text"][: len(r["text"]) - len(r["text"]) // 4] + r["text"][: len(r["text"]) // 4]
+    r = fingerprints.compare_with_next(odd.filter("doc_id = 201")).first()
+    assert r["edited"] == r["text"][: len(r["text"]) - len(r["text"]) // 4] + r["text"][: len(r["text"]) // 4] and len(r["next_hashes"]) == len(r["signatures"])
