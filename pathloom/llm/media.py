@@ -10,8 +10,9 @@
   that begin inside its byte range, streams them as Arrow batches of bounded
   size, and retries every member by itself from its own offset.
 
-A payload is stored as the 8-bit grey samples of a PNG image of 576 columns:
-lossless, compressed and the same bytes for equal payloads.
+A payload is stored as the 8-bit grey samples of a binary PGM image of 576
+columns: the same bytes for equal payloads.  Archives deflate their members and
+hold a checksum of each, which every read is held against.
 
 Defined cases: a null or empty text becomes one row of 255s (255 never occurs
 in UTF-8, so the unpadded length is known from the payload); a null id is kept;
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import struct
 import time
 import uuid
 import zipfile
@@ -40,7 +40,6 @@ from .common import emit, fresh_dir, pieces, table, texts
 WIDTH = 576
 PAD = b"\xff"
 LEVEL = 4
-_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
 def pad(data: bytes) -> bytes:
@@ -48,57 +47,42 @@ def pad(data: bytes) -> bytes:
     return data + PAD * (max(1, -(-len(data) // WIDTH)) * WIDTH - len(data))
 
 
-def to_png(payload: bytes) -> bytes:
-    """8-bit grey PNG with ``WIDTH`` columns, filter 0 in every row."""
-    height = len(payload) // WIDTH
-    rows = b"".join(b"\0" + payload[i * WIDTH : (i + 1) * WIDTH] for i in range(height))
-    head = struct.pack(">IIBBBBB", WIDTH, height, 8, 0, 0, 0, 0)
-    return _MAGIC + b"".join(_chunk(k, d) for k, d in ((b"IHDR", head), (b"IDAT", zlib.compress(rows, LEVEL)), (b"IEND", b"")))
-
-
-def _chunk(kind: bytes, data: bytes) -> bytes:
-    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-
-def from_png(image: bytes) -> bytes:
-    """The samples of an image that ``to_png`` made; ``ValueError`` if it is damaged."""
-    if image[:8] != _MAGIC:
-        raise ValueError("not a PNG image")
-    at, data, width, height = 8, b"", 0, 0
-    while at < len(image):
-        (n,) = struct.unpack_from(">I", image, at)
-        kind, body = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
-        if len(body) != n or struct.unpack_from(">I", image, at + 8 + n)[0] != zlib.crc32(kind + body):
-            raise ValueError(f"damaged chunk {kind!r}")
-        if kind == b"IHDR":
-            width, height, *form = struct.unpack(">IIBBBBB", body)
-            if form != [8, 0, 0, 0, 0]:
-                raise ValueError("not 8-bit grey")
-        elif kind == b"IDAT":
-            data += body
-        at += n + 12
-    rows = zlib.decompress(data)
-    if len(rows) != height * (width + 1) or any(rows[:: width + 1]):
-        raise ValueError("unknown row filter or size")
-    return b"".join(rows[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
+def _head(height: int) -> bytes:
+    return b"P5\n%d %d\n255\n" % (WIDTH, height)
+
+
+def to_pgm(payload: bytes) -> bytes:
+    """8-bit grey image with ``WIDTH`` columns."""
+    return _head(len(payload) // WIDTH) + payload
+
+
+def from_pgm(image: bytes) -> bytes:
+    """The samples of an image that ``to_pgm`` made; ``ValueError`` if it is none."""
+    fields = image.split(b"\n", 3)
+    if len(fields) != 4 or not len(fields[3]) or len(fields[3]) % WIDTH or not image.startswith(_head(len(fields[3]) // WIDTH)):
+        raise ValueError("not a grey image of this kind")
+    return fields[3]
 
 
 def features(payload: bytes) -> str:
-    """Mean and deviation of the samples, and a hash of 64 block means against their median."""
+    """Mean and variance of the samples in thousandths, and which of 64 block means lie over their median."""
     import numpy as np
 
     samples = np.frombuffer(payload, dtype=np.uint8)
-    means = np.add.reduceat(samples, np.arange(64) * len(samples) // 64, dtype=np.int64) * 64 // len(samples)
-    bits = int.from_bytes(np.packbits(means > np.median(means)).tobytes(), "big")
-    total, square = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
     n = len(samples)
-    return f"{1000 * total // n}:{1000 * (n * square - total * total) // (n * n)}:{bits:016x}"
+    means = samples.reshape(64, n // 64).sum(axis=1, dtype=np.int64) * 64 // n
+    bits = "".join("01"[int(x)] for x in means > np.median(means))
+    total, square = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
+    return f"{1000 * total // n}:{1000 * (n * square - total * total) // (n * n)}:{bits}"
 
 
 def _open_fs(directory: str):
     """Filesystem and path of a directory, be it local or in a store that pyarrow knows."""
     from pyarrow import fs
 
+    # Hadoop's names of one and the same store
+    directory = directory.replace("s3a://", "s3://", 1) if directory.startswith("s3a://") else directory
+
     if "://" not in directory and not directory.startswith("file:"):
         return fs.LocalFileSystem(), directory
     return fs.FileSystem.from_uri(directory)
@@ -139,10 +123,10 @@ class ArchiveWriter(DataSourceArrowWriter):
         fs, base = _open_fs(self.path)
         fs.create_dir(base, recursive=True)
         name, members = f"{uuid.uuid4().hex}.zip", 0
-        with fs.open_output_stream(f"{base}/{name}") as out, zipfile.ZipFile(_Forward(out), "w", zipfile.ZIP_STORED) as archive:
+        with fs.open_output_stream(f"{base}/{name}") as out, zipfile.ZipFile(_Forward(out), "w") as archive:
             for batch in batches:
                 for member, content in zip(batch["member"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                    archive.writestr(zipfile.ZipInfo(member), content)
+                    archive.writestr(zipfile.ZipInfo(member), content, zipfile.ZIP_DEFLATED, LEVEL)
                     members += 1
         return ArchiveDone(name, fs.get_file_info(f"{base}/{name}").size, members)
 
@@ -228,7 +212,7 @@ def to_members(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 for part in pieces(batch):
                     for doc_id, data in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
-                        yield f"{'null' if doc_id is None else doc_id}.png", to_png(pad(data))
+                        yield f"{'null' if doc_id is None else doc_id}.pgm", to_pgm(pad(data))
 
         yield from emit(_FIELDS, rows(), lambda r: len(r[1]))
 
@@ -255,7 +239,7 @@ def measure(members: DataFrame) -> DataFrame:
         def rows():
             for batch in batches:
                 for member, content in zip(batch["member"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                    payload, name = from_png(content), member.removesuffix(".png")
+                    payload, name = from_pgm(content), member.removesuffix(".pgm")
                     yield None if name == "null" else int(name), len(payload.rstrip(PAD)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(content), hashlib.sha256(content).hexdigest(), features(payload)
 
         yield from emit(_MEASURED, rows(), lambda r: 300)
@@ -267,3 +251,30 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "media")
     write_archives(to_members(table(spark, sf_dir, "documents")), path)
     return measure(read_archives(spark, path))
+
+
+def _nibble_table() -> list[int]:
+    """Remainders that move CRC-32 on by four bits."""
+    out = []
+    for r in range(16):
+        for _ in range(4):
+            r = r >> 1 ^ (0xEDB88320 if r & 1 else 0)
+        out.append(r)
+    return out
+
+
+OP10_SQL = f"""
+with t as (select doc_id, encode(coalesce(text, '')) as data from documents),
+p as (select doc_id, octet_length(data) as n_bytes, greatest(1, (octet_length(data) + {WIDTH - 1}) // {WIDTH}) as height, data from t),
+q as (select doc_id, n_bytes, height, data || unhex(repeat('FF', cast(height * {WIDTH} - n_bytes as bigint))) as payload from p),
+h as (select *, encode('P5' || chr(10) || '{WIDTH} ' || height || chr(10) || '255' || chr(10)) || payload as image, hex(payload) as digits from q),
+b as (select *, list_transform(regexp_extract_all(digits, '..'), lambda x: cast('0x' || x as bigint)) as samples,
+  list_transform(range(64), lambda i: cast('0x' || substr(right(digits, 64), i + 2 - 2 * (i % 2), 1) as bigint)) as nibbles from h),
+m as (select *, len(samples) as n, cast(list_sum(samples) as hugeint) as total, cast(list_sum(list_transform(samples, lambda x: x * x)) as hugeint) as square,
+  list_transform(range(64), lambda i: cast(list_sum(samples[i * (len(samples) // 64) + 1 : (i + 1) * (len(samples) // 64)]) as bigint) * 64 // len(samples)) as means from b)
+select doc_id, cast(n_bytes as bigint) as n_bytes, cast(n as bigint) as payload_bytes, sha256(payload) as payload_sha256,
+  xor(list_reduce(list_prepend(cast(4294967295 as bigint), nibbles), lambda a, x: xor(a >> 4, {_nibble_table()}[(xor(a, x) & 15) + 1])), 4294967295) as tail_crc32,
+  cast(octet_length(image) as bigint) as media_bytes, sha256(image) as media_sha256,
+  (1000 * total // n) || ':' || (1000 * (n * square - total * total) // (cast(n as hugeint) * n)) || ':' || array_to_string(list_transform(means, lambda x: case when x > list_median(means) then '1' else '0' end), '') as feature
+from m
+"""

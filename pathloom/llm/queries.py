@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op5_fingerprints": fingerprints.OP5_SQL, "op9_chat": chat.OP9_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op5_fingerprints": fingerprints.OP5_SQL, "op9_chat": chat.OP9_SQL, "op10_media": media.OP10_SQL}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import statistics
 import zlib
 from collections import defaultdict
 
@@ -228,13 +229,19 @@ def test_chat_table(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=1500))
-def test_png_round_trip(data):
+def test_pgm_round_trip(data):
     p = media.pad(data)
-    assert len(p) % 576 == 0 and len(p) >= 576 and p.startswith(data) and media.from_png(media.to_png(p)) == p
-    with pytest.raises(ValueError):
-        broken = bytearray(media.to_png(p))
-        broken[40] ^= 1
-        media.from_png(bytes(broken))
+    assert len(p) % 576 == 0 and len(p) >= 576 and p.startswith(data) and media.from_pgm(media.to_pgm(p)) == p
+    for broken in (media.to_pgm(p)[:-1], b"P6" + media.to_pgm(p)[2:], b"", data):
+        with pytest.raises(ValueError):
+            media.from_pgm(broken)
+
+
+def plain_features(p):
+    blocks = [p[k * len(p) // 64 : (k + 1) * len(p) // 64] for k in range(64)]
+    means = [sum(b) * 64 // len(p) for b in blocks]
+    mean = statistics.fmean(p)
+    return int(1000 * mean), statistics.pvariance(p), "".join("1" if m > statistics.median(means) else "0" for m in means)
 
 
 def test_media(spark, odd, none, tmp_path):
@@ -243,9 +250,16 @@ def test_media(spark, odd, none, tmp_path):
     got = media.measure(media.read_archives(spark, path, split_bytes=700)).collect()
     want = []
     for i, t in rows_of(odd):
-        p = media.pad(t.encode())
-        want.append((str(i), len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), hashlib.sha256(media.to_png(p)).hexdigest(), media.features(p)))
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"], r["feature"]) for r in got) == sorted(want)
+        data = t.encode()
+        p = data + b"\xff" * (576 - len(data) % 576 if len(data) % 576 or not data else 0)
+        image = f"P5\n576 {len(p) // 576}\n255\n".encode() + p
+        want.append((str(i), len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), plain_features(p)))
+    told = []
+    for r in got:
+        mean, variance, bits = r["feature"].split(":")
+        told.append((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], (int(mean), int(variance), bits)))
+    for x, y in zip(sorted(told), sorted(want), strict=True):
+        assert x[:7] == y[:7] and x[7][2] == y[7][2] and abs(x[7][0] - y[7][0]) <= 1 and abs(x[7][1] - 1000 * y[7][1]) <= 1.01
     media.write_archives(media.to_members(none), f"{path}-none")
     assert media.read_archives(spark, f"{path}-none").count() == 0
 
