@@ -146,9 +146,9 @@ def followed(docs: DataFrame, known, hot):
         words, held, n = Words(), [], 0
         for batch in batches:
             for part in pieces(batch, most=WORD_BATCH):
-                hashes, offsets = words.of(part["text"])
-                held.append((index_of(given.value[0], hashes).astype(np.uint32), _pairs_of(hashes, offsets)[0]))
-                n += len(hashes)
+                few, at, offsets = words.coded(part["text"])
+                held.append((index_of(given.value[0], few).astype(np.uint32)[at], _pairs_of(few[at], offsets)[0]))
+                n += len(at)
                 if n >= HELD_WORDS:
                     yield from packed(held)
                     n = 0
@@ -158,17 +158,17 @@ def followed(docs: DataFrame, known, hot):
     def packed(held):
         word, pair = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.append(True, pair[1:] != pair[:-1])
+        word, pair = word[order[new]], pair[new]
         is_hot = given.value[1]
         split = np.where(is_hot[word], pair >> np.uint64(64 - SPLIT_BITS), np.uint64(0))
         mixed = (word.astype(np.uint64) << np.uint64(SPLIT_BITS) | split) * np.uint64(_BEGIN)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-        low = (pair & np.uint64((1 << 40) - 1)).astype(np.uint64)
-        order = np.lexsort((low, word, part))
-        part, word, low = part[order], word[order], low[order]
-        new = np.ones(len(part), dtype=bool)
-        new[1:] = (word[1:] != word[:-1]) | (low[1:] != low[:-1]) | (part[1:] != part[:-1])
-        part, word, low = part[new], word[new], low[new]
+        part = (mixed >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part << np.uint64(32) | word)
+        part, word, low = part[order].astype(np.int32), word[order], pair[order] & np.uint64((1 << 40) - 1)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
         high, low = (low >> np.uint64(8)).astype(np.uint32), low.astype(np.uint8)
 
@@ -283,14 +283,23 @@ def fit_models(docs: DataFrame, sample: dict[int, int]) -> dict:
     }
 
 
-def ratios(model: dict, hashes, offsets):
-    """Log-likelihood ratio (toxic to ordinary) of every word, under the models and under their lower order."""
+def ratios(model: dict, few, at, offsets):
+    """Log-likelihood ratio (toxic to ordinary) of every word of ``few[at]``, under the models and under their lower order."""
     import numpy as np
 
-    pair, before = _pairs_of(hashes, offsets)
-    alone = model["lower"][:, index_of(model["known"], hashes)]
-    after = model["direct"][:, index_of(model["pair"], pair)] + model["back"][:, index_of(model["contexts"], before)] * alone
-    return np.log(after[1]) - np.log(after[0]), np.log(alone[1]) - np.log(alone[0])
+    alone = model["lower"][:, index_of(model["known"], few)]
+    lower = (np.log(alone[1]) - np.log(alone[0]))[at]
+    # after a word that no surplus pair begins with, both models are their lower order
+    context = np.empty(len(at), dtype=np.int64)
+    context[1:] = index_of(model["contexts"], few)[at[:-1]]
+    context[offsets[:-1][offsets[:-1] < offsets[1:]]] = index_of(model["contexts"], np.array([_BEGIN], dtype=np.uint64))[0]
+    where = np.flatnonzero(context < len(model["contexts"]))
+    context, word = context[where], at[where]
+    pair = index_of(model["pair"], pair_hash(model["contexts"][context], few[word]))
+    after = model["direct"][:, pair] + model["back"][:, context] * alone[:, word]
+    upper = lower.copy()
+    upper[where] = np.log(after[1]) - np.log(after[0])
+    return upper, lower
 
 
 def likelihoods(docs: DataFrame, model) -> DataFrame:
@@ -302,9 +311,9 @@ def likelihoods(docs: DataFrame, model) -> DataFrame:
         words, tables = Words(), model.value
         for batch in batches:
             for part in pieces(batch, most=WORD_BATCH):
-                hashes, offsets = words.of(part["text"])
+                few, at, offsets = words.coded(part["text"])
                 n = np.maximum(np.diff(offsets), 1)
-                after, alone = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[offsets]) / n for x in ratios(tables, hashes, offsets))
+                after, alone = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[offsets]) / n for x in ratios(tables, few, at, offsets))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(after), pa.array(alone)], names=["doc_id", "after", "alone"])
 
     return texts(docs).mapInArrow(run, "doc_id long, after double, alone double")

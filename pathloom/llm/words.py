@@ -32,6 +32,11 @@ class Words:
 
     def of(self, texts: pa.Array):
         """``hashes, offsets``: all words of all texts, and where each text's words begin (one more at the end)."""
+        few, at, offsets = self.coded(texts)
+        return few[at], offsets
+
+    def coded(self, texts: pa.Array):
+        """``few, at, offsets``: the hashes of all words are ``few[at]``, so what is looked up by hash needs to be looked up for the ``few`` only."""
         import numpy as np
         import pyarrow.compute as pc
 
@@ -46,4 +51,4 @@ class Words:
         n = counts[index]
         ends = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])
-        return flat[at], ends[offsets - offsets[0]]
+        return flat, at, ends[offsets - offsets[0]]
