@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import pyarrow as pa
 
@@ -21,13 +22,18 @@ class Words:
     def _hashes(self, token: str) -> tuple[int, ...]:
         import xxhash
 
-        found = self.cache.get(token)
-        if found is None:
-            found = tuple(xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(token.lower()))
-            if len(token) <= _LONG:
-                if len(self.cache) >= _CACHED:
-                    self.cache.clear()
-                self.cache[token] = found
+        low = token.lower()
+        # most tokens are one word, or one word and a mark after it
+        if low.isalnum():
+            found = (xxhash.xxh3_64_intdigest(low),)
+        elif low[:-1].isalnum():
+            found = (xxhash.xxh3_64_intdigest(low[:-1]),)
+        else:
+            found = tuple(xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(low))
+        if len(token) <= _LONG:
+            if len(self.cache) >= _CACHED:
+                self.cache.clear()
+            self.cache[token] = found
         return found
 
     def of(self, texts: pa.Array):
@@ -44,9 +50,10 @@ class Words:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         encoded = lists.flatten().dictionary_encode()
         index = encoded.indices.to_numpy()
-        per = [self._hashes(t) for t in encoded.dictionary.to_pylist()]
+        known, fresh = self.cache.get, self._hashes
+        per = [known(t) or fresh(t) for t in encoded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         counts = np.fromiter(map(len, per), dtype=np.int64, count=len(per))
-        flat = np.fromiter((h for p in per for h in p), dtype=np.uint64, count=int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(per), dtype=np.uint64, count=int(counts.sum()))
         first = np.concatenate(([0], np.cumsum(counts)))
         n = counts[index]
         ends = np.concatenate(([0], np.cumsum(n)))
