@@ -305,6 +305,14 @@ def test_notices_with_changes(spark):
     assert labels == {1: {"mit-grant"}, 2: set()}
 
 
+def test_notice_positions_count_once(spark):
+    texts = ["cc by cc by cc by nc 4", "licensed under cc by nc 4.0", "cc by " * 50 + "licensed under cc by nc 4 0 " + "cc by " * 50, "licensed under cc, by nc 4.0", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, texts[1])], "doc_id long, text string").repartition(3)
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), sorted((s["label"], s["start"], s["end"]) for s in r["spans"] if s["verified"])) for r in licenses.scan_licenses(df).collect())
+    nc = "cc-by-nc-4.0"
+    assert got == [(-1, [(nc, 0, 7)]), (0, []), (1, [(nc, 0, 7)]), (1, [(nc, 0, 7)]), (2, [(nc, 100, 107)]), (3, [(nc, 0, 7)]), (4, [])]
+
+
 def spot_signatures(text):
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower()) if w]
     stop = set(fingerprints.anchors())
