@@ -48,8 +48,6 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 BRUTE, BLOCK, TOKENS = 512, 1024, 1 << 22
 #: Minhash coordinates of a sketch, one byte each, and how many must agree for a pair to be verified.
 COORDS, AGREE = 64, 38
-#: Of the hubs that there once were: nothing reads these, but a test still sets them.
-DEPTH, LEAVE = 0, 64
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 #: A set's number of links in a block (``b`` is null), or a link.
@@ -335,3 +333,19 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+OP4_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as ws from documents),
+s as (select doc_id, case when len(ws) < {SHINGLE} then [array_to_string(ws, ' ')] else list_sort(list_distinct(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i : i + {SHINGLE - 1}], ' ')))) end as s from w where len(ws) > 0),
+k as (select doc_id, s, sha256(array_to_string(s, chr(10))) as node from s),
+nodes as (select node, min(doc_id) as least, count(*) as n_copies, any_value(s) as s from k group by node),
+tokens as (select node, len(s) as n, unnest(s) as token from nodes),
+links as (select a.node as a, b.node as b from tokens a join tokens b on a.token = b.token and a.node <> b.node
+  group by a.node, b.node, a.n, b.n having count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+reached(a, b) as (select node, node from nodes union select reached.a, links.b from reached join links on links.a = reached.b),
+classes as (select reached.a as node, min(nodes.least) as class_id from reached join nodes on nodes.node = reached.b group by reached.a),
+degrees as (select a as node, count(*) as n_links from links group by a)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, cast(coalesce(g.n_links, 0) as bigint) as n_links, cast(coalesce(n.n_copies, 1) as bigint) as n_copies
+from documents d left join k on k.doc_id = d.doc_id left join nodes n on n.node = k.node left join classes c on c.node = k.node left join degrees g on g.node = k.node
+"""
