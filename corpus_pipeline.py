@@ -2,7 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the
 columns of ``docs``; a stage that changes texts also brings ``n_chars`` up to
-date.  Rows with a null id are kept by every filter.
+date.  What a stage returns is written to the shared folder and reread, as each
+stage goes over its input several times.
+
+Defined cases: a row with a null id cannot be told toxic and is never another
+document's near duplicate, so it stays; of rows that are equal in id (or both
+have none) and text one stays, from the third stage on.  Empty tables go
+through.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import jaccard_join, line_dedup, packing, secrets, toxicity
-from pathloom.llm.common import table, text_of
+from pathloom.llm.common import stored, table, text_of
 from pathloom.session import ship
 
 
@@ -67,6 +73,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
