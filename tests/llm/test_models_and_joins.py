@@ -389,3 +389,28 @@ def test_pipeline_against_its_parts(spark, tmp_path, near):
     assert {x["doc_id"] for x in placed} == set(clean) and sum(x["length"] for x in placed) == sum(len(t) for t in clean.values())
     assert sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, placed))
     assert line_dedup.MIN_DOCS == 5 and packing.CAPACITY > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids, repeated rows, columns whose names the stages use inside, and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(2)
+    schema = "doc_id long, text string, source string, n_chars int, whole string, row_hash long, toxic int, node string, _gone int, known boolean"
+    extra = ("w", 1, 0, "n", 7, None)
+    base = prose(r, 80)
+    docs = [(None, base, None, 0, *extra), (None, base, None, 0, *extra), (None, None, "s", None, *extra), (1, base, "s", 0, *extra), (1, base, "s", 0, *extra), (2, base, "s", 0, *extra), (3, None, "s", 0, *extra), (4, "", None, 0, *extra)]
+    docs += [(2**53 + 1 + 2 * i, prose(r, 40), "s", 0, *extra) for i in range(20)]
+    labels = [(2**53 + 1 + 2 * i, 1, 0) for i in range(20)]
+    for name, rows in (("odd", docs), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, f in pipeline.STAGES:
+            f(spark, now, path).write.parquet(f"{path}/{stage}")
+            now = spark.read.parquet(f"{path}/{stage}")
+            if stage == "jaccard_join":
+                left = sorted((str(x["doc_id"]), x["text"]) for x in now.collect() if (x["doc_id"] or 0) < 100)
+                assert not rows or left == sorted([("None", base), ("None", ""), ("1", base), ("3", ""), ("4", "")])
+        assert sorted(map(str, pipeline.run(spark, path).collect())) == sorted(map(str, now.collect()))
+        assert now.count() == 0 if not rows else {x["doc_id"] for x in now.collect()} >= {None, 1, 3, 4}
