@@ -50,7 +50,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; the documents stay."""
     ship(spark)
-    forest = secrets.train_forest(secrets.findings_frame(spark, secrets.labelled_findings()))
+    forest = secrets.train_forest(secrets.findings_frame(spark, secrets.training_findings()))
     return secrets.redacted(docs, forest)
 
 
