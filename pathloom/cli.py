@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import hashlib
 import shutil
 import sys
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -82,11 +84,12 @@ def gen(spark: SparkSession, known: list[str], unknown: list[str], archives: lis
     return hunt.run(pairs.select("path"), targets(keys, pairs))
 
 
-def merge(spark: SparkSession, files: list[str]) -> tuple[list[str], dict]:
+def merge(spark: SparkSession, files: list[str]) -> tuple[Iterator[str], dict]:
+    """The merged list's lines, which come a partition at a time, and the report."""
     lists = [_listed(spark, [f]) for f in files]
     merged = merge_lists(lists)
     report = merge_report(merged, lists).first().asDict()
-    return [r["value"] for r in hash_lines(merged, report["digits"]).toLocalIterator()], report
+    return (r["value"] for r in hash_lines(merged, report["digits"]).toLocalIterator()), report
 
 
 def inputs_of(directory: Path, table: LogicalTable) -> list[Path]:
@@ -191,11 +194,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _write(lines, out: str | None) -> None:
-    text = "".join(f"{x}\n" for x in lines)
-    if out:
-        Path(out).write_text(text)
-    else:
-        sys.stdout.write(text)
+    with open(out, "w", encoding="utf-8", newline="\n") if out else contextlib.nullcontext(sys.stdout) as f:
+        f.writelines(f"{x}\n" for x in lines)
 
 
 def run(args: argparse.Namespace, spark: SparkSession | None = None) -> None:

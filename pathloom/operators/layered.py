@@ -70,13 +70,16 @@ class LayeredTable:
 
 
 def resolve(probes: DataFrame, layers: list[DataFrame], key: str = "key", first: int = 0) -> DataFrame:
-    """One left join for each layer; a probe that an upper layer knows has a null join key below, so it finds and moves nothing there."""
+    """One left join for each layer; a probe that an upper layer knows finds nothing below.
+
+    Resolved probes keep their own key in the join, so that they stay spread
+    over the partitions, however many there are.
+    """
     out = probes.withColumn("path", F.lit(None).cast("string")).withColumn("layer", F.lit(None).cast("int"))
     for n, rows in enumerate(layers, first):
         layer = rows.select(F.col("key").alias("_key"), F.col("path").alias("_path"), F.lit(n).alias("_layer"))
-        wanted = F.when(F.col("layer").isNull(), F.col(key))
-        out = out.withColumn("_want", wanted).join(layer, F.col("_want") == F.col("_key"), "left")
-        out = out.withColumn("path", F.when(F.col("_key").isNotNull(), F.col("_path")).otherwise(F.col("path"))).withColumn("layer", F.coalesce("layer", "_layer")).drop("_key", "_path", "_layer", "_want")
+        out = out.join(layer, (F.col(key) == F.col("_key")) & F.col("layer").isNull(), "left")
+        out = out.withColumn("path", F.when(F.col("_key").isNotNull(), F.col("_path")).otherwise(F.col("path"))).withColumn("layer", F.coalesce("layer", "_layer")).drop("_key", "_path", "_layer")
     return out
 
 

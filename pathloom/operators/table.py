@@ -6,13 +6,14 @@ import json
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ChecksumMismatch, DuplicateKey, KeyOutOfRange, PathTooLong, VerifyError
 from ..functions.hashing import hash_path, xxh64
 from ..functions.keys import parse_hex, to_signed, to_unsigned, unsigned
 from ..meta import MAX_PATH_BYTES, Casing, HashKind, KeyWidth, TableMeta
+from ..session import checkpointed
 
 SCHEMA = "key long, path string"
 
@@ -82,13 +83,14 @@ class KeyedTable:
         rows = self.df.filter(F.col("key") == F.lit(to_signed(key))).select("path").take(1)
         return rows[0]["path"] if rows else None
 
-    def get_batch(self, probes: DataFrame, key: str = "key") -> DataFrame:
+    def get_batch(self, probes: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
         """``probes`` with ``path`` (null: a miss) and ``hit``; every probe row stays, copies too.
 
-        To put many probes back in order give them an ``ord`` column and sort by it.
+        With ``order``, a column that numbers the probes, the answers come back in that order.
         """
         table = self.df.select(F.col("key").alias("_key"), "path", F.lit(True).alias("hit"))
-        return probes.join(table, probes[key] == F.col("_key"), "left").drop("_key").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        found = probes.join(table, probes[key] == F.col("_key"), "left").drop("_key").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        return found if order is None else found.orderBy(order)
 
     def contains(self, probes: DataFrame, key: str = "key") -> DataFrame:
         """``probes`` with ``known``; of the table only the keys are read."""
@@ -108,8 +110,8 @@ class KeyedTable:
         return self.df.orderBy(unsigned(F.col("key")), "path")
 
     def sample(self, n: int, seed: int = 0) -> DataFrame:
-        """``n`` rows picked by a hash of their keys: the same ones for the same seed, however the table is laid out."""
-        return self.df.orderBy(F.xxhash64("key", F.lit(seed)), unsigned(F.col("key")), "path").limit(n)
+        """``n`` rows picked by a digest of seed and key: the same ones for the same seed, however the table is laid out."""
+        return self.df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"))), unsigned(F.col("key")), "path").limit(n)
 
     def resident(self) -> dict[int, str]:
         """The whole table on the driver, by unsigned key; for tables that are known to be small."""
@@ -160,22 +162,43 @@ class KeyedTable:
         return cls(spark.read.schema(SCHEMA).parquet(f"{path}/{by}"), TableMeta(KeyWidth(m["key_width"]), HashKind(m["hash_kind"]), Casing(m["casing"])))
 
 
-def arena_offsets(paths: DataFrame) -> DataFrame:
-    """``path, length, offset``: byte offsets of the distinct paths laid end to end in path order.
+def running(rows: DataFrame, order: list[Column], size: Column, to: str) -> DataFrame:
+    """``rows`` with the column ``to``: the sum of ``size`` over all rows before, in the given order.
 
-    Paths are dealt by range and summed inside each part; only the parts'
-    totals are summed one after the other.
+    Rows are dealt by range and summed inside each part; only the parts'
+    totals, a row each, are summed one after the other.
     """
-    from ..session import checkpointed
+    placed = checkpointed(rows.withColumn("_size", size.cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("_part").agg(F.sum("_size").alias("_total")).select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inner", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(F.broadcast(bases), "_part")
+    return summed.withColumn(to, F.col("_base") + F.col("_inner")).drop("_part", "_size", "_base", "_inner")
+
+
+def placed_in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``place``, counted from 0 in the given order (which tells all rows apart)."""
+    return running(rows, list(order), F.lit(1), "place")
 
+
+def arena_offsets(paths: DataFrame) -> DataFrame:
+    """``path, length, offset``: byte offsets of the distinct paths laid end to end in path order."""
     sized = paths.select("path").distinct().select("path", F.octet_length("path").cast("long").alias("length"))
-    placed = checkpointed(sized.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
-    from pyspark.sql import Window
+    return running(sized, [F.col("path")], F.col("length"), "offset")
 
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    bases = placed.groupBy("part").agg(F.sum("length").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("inner", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(F.broadcast(bases), "part").select("path", "length", (F.col("base") + F.col("inner")).alias("offset"))
+
+def descents(rows: DataFrame) -> DataFrame:
+    """``at, key, before`` of stored keys (``at, key``) that are not over the key stored before them, unsigned; none in a sound table.
+
+    A part's first key is compared with the last one of the part before, of
+    which there is a row for each part.
+    """
+    placed = checkpointed(rows.select("at", "key").repartitionByRange("at").withColumn("_part", F.spark_partition_id()))
+    lasts = placed.groupBy("_part").agg(F.max(F.struct("at", "key")).alias("last"))
+    carried = lasts.select("_part", F.lag("last.key").over(Window.orderBy("_part")).alias("_carried"))
+    inside = F.lag("key").over(Window.partitionBy("_part").orderBy("at"))
+    told = placed.withColumn("before", inside).join(F.broadcast(carried), "_part").withColumn("before", F.coalesce("before", "_carried"))
+    return told.filter(unsigned(F.col("key")) <= unsigned(F.col("before"))).select("at", "key", "before")
 
 
 def frame_ids(offsets: DataFrame, frame_size: int) -> DataFrame:
@@ -202,8 +225,6 @@ def merge_report(merged: DataFrame, lists: Iterable[DataFrame]) -> DataFrame:
 
 def adjacent_conflicts(merged: DataFrame) -> DataFrame:
     """``key, path, next_path``: each key's neighbouring paths, in path order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key").orderBy("path")
     return merged.withColumn("next_path", F.lead("path").over(w)).filter("next_path is not null")
 

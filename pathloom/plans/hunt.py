@@ -21,6 +21,13 @@ def hits(candidates: DataFrame, unknown: DataFrame, meta: TableMeta) -> DataFram
     return hashed.join(unknown.select("key"), "key", "left_semi").groupBy("key").agg(F.min("path").alias("path"))
 
 
+def counted_hits(candidates: DataFrame, unknown: DataFrame, meta: TableMeta) -> DataFrame:
+    """``key, path, n``: as ``hits``, in one pass with the number of candidates, of which those that hit nothing are a row without a key."""
+    hashed = candidates.select(hash_path(F.col("path"), meta).alias("hash"), "path")
+    both = hashed.join(unknown.select("key"), F.col("hash") == F.col("key"), "left")
+    return both.groupBy("key").agg(F.min(F.when(F.col("key").isNotNull(), F.col("path"))).alias("path"), F.count("*").alias("n"))
+
+
 @dataclass
 class HuntReport:
     """``resolved`` is ``key, path, round, guesser``; ``stats`` has a row per generator and round."""
@@ -74,9 +81,15 @@ class Hunt:
                     source = self._union(None, found_parts[old:]) if len(found_parts) > old else known.limit(0)
                 seen[at] = len(found_parts)
                 candidates = g.guess(source)
-                found = checkpointed(hits(candidates, left, self.meta))
+                total = None
+                if count:
+                    counted = checkpointed(counted_hits(candidates, left, self.meta))
+                    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                    found = counted.filter("key is not null").select("key", "path")
+                else:
+                    found = checkpointed(hits(candidates, left, self.meta))
                 n = found.count()
-                report.stats.append({"round": report.rounds, "guesser": g.name, "candidates": candidates.count() if count else None, "found": n, "seconds": time.monotonic() - began})
+                report.stats.append({"round": report.rounds, "guesser": g.name, "candidates": total, "found": n, "seconds": time.monotonic() - began})
                 if n:
                     this_round += n
                     resolved = resolved.unionByName(found.withColumns({"round": F.lit(report.rounds), "guesser": F.lit(g.name)}))

@@ -23,10 +23,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (a test on one machine) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; only a session on one
+    machine may go without that setting and gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or "file://" + tempfile.mkdtemp(prefix="pathloom-")).rstrip("/")
 
 
@@ -43,9 +45,11 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.ex
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package's code to the executors' Python workers, once for each application, and bounds their batches."""
+    """Gives this package's code to the executors' Python workers, once for each application, and bounds their batches where the session does not."""
+    given = spark.conf.getAll
     for key, value in BATCHES.items():
-        spark.conf.set(key, value)
+        if key not in given:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
