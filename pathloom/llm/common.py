@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_dir
+
+__all__ = ["checkpointed", "emit", "fresh_dir", "pieces", "shared_dir", "stored", "table", "text_of", "texts", "thrown_away", "with_text"]
+
 #: Bytes of payload after which a Python stage hands a batch back to Spark.
 BATCH_BYTES = 4 << 20
 
@@ -18,31 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (a test on one machine) gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or "file://" + tempfile.mkdtemp(prefix="pathloom-")
-    return found.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, its lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """``df`` written once to the shared folder as Parquet, for several readers, and where it lies."""
     path = fresh_dir(df.sparkSession, what)
