@@ -107,6 +107,22 @@ class FetchFailed(UpdateError):
         self.file = file
 
 
+class HttpStatus(UpdateError):
+    """A server answered, but with a status other than 2xx."""
+
+    def __init__(self, url: str, status: int):
+        super().__init__(f"{url}: status {status}")
+        self.url, self.status = url, status
+
+
+class HttpTransport(UpdateError):
+    """No answer came, or it broke off."""
+
+    def __init__(self, url: str, cause: BaseException):
+        super().__init__(f"{url}: {cause}")
+        self.url = url
+
+
 class DownloadMismatch(UpdateError):
     def __init__(self, file: str, expected: str, actual: str):
         super().__init__(f"{file}: expected sha256 {expected}, got {actual}")

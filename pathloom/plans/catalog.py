@@ -6,13 +6,15 @@ import asyncio
 import contextlib
 import fcntl
 import hashlib
+import http.client
 import json
 import os
 import re
 import shutil
 import sys
+import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -20,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BadRemoteFilename, DownloadMismatch, FetchFailed, InvalidVersion, ManifestError, ManifestMissing, NoCacheDir, TableNotFound, UnsupportedSchema, VersionReused
+from ..errors import BadRemoteFilename, DownloadMismatch, FetchFailed, HttpStatus, HttpTransport, InvalidVersion, ManifestError, ManifestMissing, NoCacheDir, TableNotFound, UnsupportedSchema, VersionReused
 from ..meta import TABLES
 from ..operators.layered import LayeredTable
 from ..operators.table import KeyedTable
@@ -300,15 +302,27 @@ class Store:
 
 
 def http_fetch(base_url: str, timeout: float = 60) -> Callable[[str], bytes]:
-    """Fetches ``base_url/name``; a status other than 2xx raises ``urllib.error.HTTPError``."""
+    """Fetches ``base_url/name``; ``HttpStatus`` for a status other than 2xx, ``HttpTransport`` where no whole answer comes."""
 
     def fetch(name: str) -> bytes:
-        with urllib.request.urlopen(f"{base_url.rstrip('/')}/{name}", timeout=timeout) as r:  # noqa: S310
-            return r.read()
+        url = f"{base_url.rstrip('/')}/{name}"
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
+                return r.read()
+        except urllib.error.HTTPError as e:
+            raise HttpStatus(url, e.code) from e
+        except (OSError, http.client.HTTPException) as e:
+            raise HttpTransport(url, e) from e
 
     return fetch
 
 
+def http_fetch_async(base_url: str, timeout: float = 60) -> Callable[[str], Awaitable[bytes]]:
+    """The same for ``update_async``: the event loop is free while a thread waits for the answer."""
+    fetch = http_fetch(base_url, timeout)
+    return lambda name: asyncio.to_thread(fetch, name)
+
+
 def release_url(repo: str) -> str:
     """Where the files of the latest release of a hosted ``owner/name`` repository are."""
     return f"https://github.com/{repo}/releases/latest/download"

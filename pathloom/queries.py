@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import strings as S
 from .functions.hashing import fnv1a32, hash_path, xxh3, xxh64
-from .functions.human import grouped
+from .functions.human import duration, grouped, mebibytes
 from .functions.keys import format_hex, parse_hex
 from .meta import TABLES, Casing, HashKind, KeyWidth, TableMeta
 from .operators import guessers as G
@@ -18,6 +19,8 @@ from .operators.layered import resolve
 from .operators.table import KeyedTable, adjacent_conflicts, arena_offsets, conflicts, frame_ids, merge_lists, merge_report
 from .plans.catalog import gc_frame, plan_frame
 from .plans.hunt import Hunt, hits
+from .registry import QUERIES, SQL, query
+from .registry import table as _t
 from .session import checkpointed, shared_dir
 from .sources.hashdb import read_table_file, write_table_file
 from .sources.mining import scan_tokens, tree_strings
@@ -25,24 +28,6 @@ from .sources.textio import parse_hash_lines
 
 U32 = TableMeta(KeyWidth.U32, HashKind.FNV1A32, Casing.INSENSITIVE)
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- the corpus: asset paths made of the parts -------------------------------------------------------------------------
 
 _CORPUS_SQL = """(select distinct 'assets/characters/' || w1 || '/skins/skin' || sz || '/' || w1 || '_' || w2 || '_skin' || sz || '.' || ext as path
@@ -164,10 +149,14 @@ def lookup_anti(spark, sf_dir):
     return _parts(spark, sf_dir).unknown(_probes(spark, sf_dir))
 
 
-@query("select 7 as key, (select p_name from part where p_partkey = 7) as path")
+_POINTS = [0, 1, 3, 7, 8, 1999, 10**6]
+
+
+@query(f"select k.key::BIGINT as key, t.path as path from (select unnest({_POINTS}) as key) k left join {_PARTS_SQL} t on t.key = k.key")
 def lookup_point(spark, sf_dir):
-    """One key, by a filter that reaches the scan."""
-    return _t(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lit(7).alias("key"), F.col("p_name").alias("path"))
+    """Single keys, hits and misses, each by a filter that reaches the scan."""
+    parts = _parts(spark, sf_dir)
+    return spark.createDataFrame([(k, parts.get(k)) for k in _POINTS], "key long, path string")
 
 
 _LAYERS_SQL = """select event_id, user_id as key,
@@ -230,9 +219,15 @@ def table_stats(spark, sf_dir):
     return KeyedTable(corpus(spark, sf_dir).select(F.xxhash64("path").alias("key"), "path"), TableMeta()).stats()
 
 
-@query("select sum((n > 1)::BIGINT)::BIGINT as repeated_keys, 0::BIGINT as wide_keys, 0::BIGINT as long_paths, 0::BIGINT as broken_paths from (select s_nationkey, count(*) as n from supplier group by 1) t")
+@query("""select (select count(*) from (select s_nationkey from supplier group by 1 having count(*) > 1)) as repeated_keys, (select count(distinct n_nationkey) from nation where n_nationkey % 5 = 0) as wide_keys,
+  (select count(distinct s_nationkey) from supplier where s_suppkey % 7 = 0) as long_paths, (select count(*) from region) as broken_paths""")
 def verify_table(spark, sf_dir):
-    return KeyedTable(_t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("key"), F.col("s_name").alias("path")), TableMeta()).violations()
+    """A 32-bit table with every kind of violation in it."""
+    s, n, r = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    rows = s.select(F.col("s_nationkey").cast("long").alias("key"), F.when(F.col("s_suppkey") % 7 == 0, F.rpad("s_name", 65536, "x")).otherwise(F.col("s_name")).alias("path"))
+    wide = n.filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") + (1 << 32)).cast("long").alias("key"), F.col("n_name").alias("path"))
+    broken = r.select((F.col("r_regionkey") + 1000).cast("long").alias("key"), F.unhex(F.lit("61FF62")).cast("string").alias("path"))
+    return KeyedTable(rows.union(wide).union(broken), U32).violations()
 
 
 @query(f"select path, strlen(path) as length, coalesce(sum(strlen(path)) over (order by path rows between unbounded preceding and 1 preceding), 0)::BIGINT as \"offset\" from {_CORPUS_SQL}")
@@ -263,15 +258,18 @@ def table_file_scan(spark, sf_dir):
     return read_table_file(spark, path).select("path", "key")
 
 
-@query("select * from (select n_nationkey::BIGINT as key, n_name as path from nation) t")
-def resident_sample(spark, sf_dir):
-    """A sample as large as the table is the table."""
-    return KeyedTable(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("path")), TableMeta()).sample(25, seed=3)
+@query("select p_partkey as key, p_name as path from part order by md5('3:' || p_partkey), p_partkey limit 100")
+def sample_rows(spark, sf_dir):
+    return KeyedTable(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("path")), TableMeta()).sample(100, seed=3)
 
 
-@query("select p_partkey, replace(format('{:,}', p_partkey * 1234), ',', ',') as grouped from part")
+@query("""select p_partkey, format('{:,}', p_partkey * 1234) as grouped, format('{:,.1f}', p_partkey * 123457 / 1048576.0) || ' MiB' as mebibytes,
+  case when p_partkey % 4 = 0 then format('{:,}', p_partkey % 1000) || ' ns' when p_partkey % 4 = 1 then format('{:,.1f}', (1000 + p_partkey % 900 * 1001) / 1000.0) || ' µs'
+  when p_partkey % 4 = 2 then format('{:,.1f}', (1000000 + p_partkey % 900 * 1000001) / 1000000.0) || ' ms' else format('{:,.1f}', (1000000000 + p_partkey * 1000000001) / 1000000000.0) || ' s' end as duration from part""")
 def human_numbers(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", grouped(F.col("p_partkey") * 1234).alias("grouped"))
+    k = F.col("p_partkey")
+    ns = F.when(k % 4 == 0, k % 1000).when(k % 4 == 1, 1000 + k % 900 * 1001).when(k % 4 == 2, 1000000 + k % 900 * 1000001).otherwise(1000000000 + k * 1000000001)
+    return _t(spark, sf_dir, "part").select(k, grouped(k * 1234).alias("grouped"), mebibytes(k * 123457).alias("mebibytes"), duration(ns).alias("duration"))
 
 
 # ---- vocabularies and generators -----------------------------------------------------------------------------------------
@@ -313,23 +311,23 @@ def guess_cross_reference(spark, sf_dir):
 
 _NUMBER_SQL = f"""with c as (select path, regexp_extract(path, '^(.*skins/skin)([0-9]+)(.*)$', 1) as a, regexp_extract(path, 'skins/skin([0-9]+)', 1) as r, regexp_extract(path, 'skins/skin[0-9]+(.*)$', 1) as z,
   regexp_extract(path, '^(.*_skin)[0-9]+[.]', 1) as a2, regexp_extract(path, '_skin[0-9]+([.].*)$', 1) as z2 from {_CORPUS_SQL}),
-runs as (select a, r, z from c union all select a2, r, z2 from c), n as (select unnest(range(0, 21)) as n)
+runs as (select a, r, z from c union all select a2, r, z2 from c), n as (select unnest(range(0, 201)) as n)
 select a || n || z as path from runs, n union all select a || '0' || n || z from runs, n where n < 10"""
 
 
 @query(_NUMBER_SQL)
 def guess_numeric_range(spark, sf_dir):
-    return G.NumericRange(20).guess(corpus(spark, sf_dir))
+    return G.NumericRange().guess(corpus(spark, sf_dir))
 
 
-_SKIN_SQL = f"""with c as (select path, regexp_extract(path, 'skins/skin([0-9]+)', 1) as r from {_CORPUS_SQL}), n as (select unnest(range(0, 21)) as n)
-select regexp_replace(path, 'skin[0-9]+', 'skin' || lpad(n::VARCHAR, 2, '0'), 'g') as path from c, n where n <> r::INT
+_SKIN_SQL = f"""with c as (select path, regexp_extract(path, 'skins/skin([0-9]+)', 1) as r from {_CORPUS_SQL}), n as (select unnest(range(0, 101)) as n)
+select regexp_replace(path, 'skin[0-9]+', 'skin' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INT, '0'), 'g') as path from c, n where n <> r::INT
 union all select regexp_replace(path, 'skin[0-9]+', 'skin' || n, 'g') from c, n where n <> r::INT and r like '0%'"""
 
 
 @query(_SKIN_SQL)
 def guess_skin_sweep(spark, sf_dir):
-    return G.CharacterSkin(20).sweep(corpus(spark, sf_dir))
+    return G.CharacterSkin().sweep(corpus(spark, sf_dir))
 
 
 _CHAMP_SQL = f"""with c as (select path, regexp_extract(path, 'characters/([0-9A-Za-z]+)/', 1) as own from {_CORPUS_SQL}), o as (select distinct own as other from c),
@@ -342,15 +340,12 @@ def guess_champion_transfer(spark, sf_dir):
     return G.CharacterSkin(0).transfer(corpus(spark, sf_dir))
 
 
-_REGIONS, _LOCALES = G.REGIONS[:5], G.LOCALES[:4]
-
-
 @query(
-    f"with c as (select string_split(path, '/') as s from {_LCU_SQL} x), r as (select unnest({_list_sql(_REGIONS)}) as r), l as (select unnest({_list_sql(_LOCALES)}) as l) "
-    f"select s[1] || '/' || s[2] || '/' || r || '/' || l || '/' || array_to_string(s[5:], '/') as path from c, r, l where list_contains({_list_sql(_REGIONS)}, s[3]) and (s[3] <> r or s[4] <> l)"
+    f"with c as (select string_split(path, '/') as s from {_LCU_SQL} x), r as (select unnest({_list_sql(G.REGIONS)}) as r), l as (select unnest({_list_sql(G.LOCALES)}) as l) "
+    f"select s[1] || '/' || s[2] || '/' || r || '/' || l || '/' || array_to_string(s[5:], '/') as path from c, r, l where list_contains({_list_sql(G.REGIONS)}, s[3]) and (s[3] <> r or s[4] <> l)"
 )
 def guess_region_locale(spark, sf_dir):
-    return G.RegionLocale(_REGIONS, _LOCALES).guess(lcu_corpus(spark, sf_dir))
+    return G.RegionLocale().guess(lcu_corpus(spark, sf_dir))
 
 
 _WORDS_SQL = rf"(select distinct w as word from (select unnest(regexp_split_to_array(path, '[/_\-. ]')) as w from {_CORPUS_SQL}) t where strlen(w) >= 2 and not regexp_full_match(w, '[0-9]+'))"
@@ -391,13 +386,17 @@ def hunt_round(spark, sf_dir):
     return hits(G.ExtensionSwap().guess(known), unknown, U32)
 
 
-@query()
+@query(
+    f"""with recursive n as (select key, path, split_part(path, '/', 3) as champ, split_part(path, '/', 5) as skin, split_part(split_part(path, '/', 6), '_', 2) as noun, split_part(path, '.', 2) as ext from {_KEYS_SQL} k),
+reached(path) as (select path from n where key % 3 <> 0 union select b.path from reached r join n a on a.path = r.path join n b on b.noun = a.noun and (a.champ <> b.champ)::INT + (a.skin <> b.skin)::INT + (a.ext <> b.ext)::INT = 1)
+select key, path from n where key % 3 = 0 and path in (select path from reached)"""
+)
 def hunt_fixpoint(spark, sf_dir):
-    """Rounds of four generators until nothing more is found."""
+    """Rounds of the game table's generators until nothing more is found; a step that leads to a path of the corpus changes its champion, its skin or its extension."""
     keys = _keys(spark, sf_dir)
     known, unknown = keys.filter("key % 3 <> 0").select("path"), keys.filter("key % 3 = 0").select("key")
-    report = Hunt(U32, [G.ExtensionSwap(), G.PrefixVariants(), G.NumericRange(30), G.CharacterSkin(60)], faithful=False).run(known, unknown, count=False)
-    return report.resolved.select("key", "path", "round", "guesser")
+    report = Hunt.for_table("game", U32, faithful=False).run(known, unknown, count=False)
+    return report.resolved.select("key", "path")
 
 
 # ---- mining --------------------------------------------------------------------------------------------------------------
@@ -446,12 +445,18 @@ def gc_candidates(spark, sf_dir):
     return gc_frame(files, n.filter("n_regionkey = 1").select(of(".lhdb")))
 
 
+def _registered() -> None:
+    import_module("pathloom.queries_files")  # builds on this module
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    _registered()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _registered()
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,3 +464,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = corpus(spark, sf_dir).select("path", hash_path(F.col("path"), U32).alias("key"))
     table = KeyedTable(keys.filter("key % 3 <> 0").select("key", "path"), U32)
     return table.get_batch(keys.select("key"))
+

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.keys import format_hex, is_hex, parse_hex, unsigned
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, value``: lines end with a line feed, of which up to two carriage returns before go too."""
     rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -30,25 +35,25 @@ def _token() -> Column:
 def parse_hash_lines(lines: DataFrame) -> DataFrame:
     """A line is cut at its first space; the path is all the rest, be it empty or ending in spaces."""
     wrong = F.raise_error(F.concat(F.col("file"), F.lit(": no <hash> <path>: "), F.col("value")))
-    rows = lines.filter(F.trim("value") != "").select("file", "value", _token().alias("token"))
+    rows = lines.filter(trimmed(F.col("value")) != "").select("file", "value", _token().alias("token"))
     good = F.expr(f"{_AT} > 0") & is_hex(F.col("token"))
     return rows.select(F.when(good, F.col("token")).otherwise(wrong).alias("hex"), parse_hex(F.col("token"), prefix=False).alias("key"), F.expr(f"substring(value, {_AT} + 1)").alias("path"), "file")
 
 
 def locate(spark: SparkSession, paths: str | list[str]) -> str | None:
     """``file:line`` (from 1) of a malformed line of hash lists, of the first file that has one; None if all are well."""
-    bad = read_lines(spark, paths).filter(F.trim("value") != "").filter(~(F.expr(f"{_AT} > 0") & is_hex(_token()))).agg(F.min("file").alias("file")).first()["file"]
+    bad = read_lines(spark, paths).filter(trimmed(F.col("value")) != "").filter(~(F.expr(f"{_AT} > 0") & is_hex(_token()))).agg(F.min("file").alias("file")).first()["file"]
     if bad is None:
         return None
     # lines of one file are numbered in the order of their places in it
     whole = spark.read.text(bad, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    first = whole.filter(F.trim(F.regexp_replace("value", "\r", "")) != "").filter(~(F.expr(f"{_AT} > 0") & is_hex(_token()))).agg(F.min("at").alias("at")).first()["at"]
+    first = whole.filter(trimmed(F.col("value")) != "").filter(~(F.expr(f"{_AT} > 0") & is_hex(_token()))).agg(F.min("at").alias("at")).first()["at"]
     return f"{bad}:{first + 1}"
 
 
 def read_unknown(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``key``: one hex hash a line, trimmed, ``0x`` allowed."""
-    token = F.trim("value")
+    token = trimmed(F.col("value"))
     rows = read_lines(spark, paths).filter(token != "")
     key = parse_hex(token)
     return rows.select(F.coalesce(key, F.raise_error(F.concat(F.col("file"), F.lit(": not a hash: "), token)).cast("long")).alias("key"))

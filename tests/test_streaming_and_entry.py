@@ -1,12 +1,12 @@
 import http.server
 import threading
-import urllib.error
 
 import pytest
 
 import __spark_entry__ as entry
 from pathloom.meta import TableMeta
 from pathloom.operators.table import KeyedTable
+from pathloom.errors import HttpStatus
 from pathloom.plans.catalog import http_fetch
 from pathloom.streaming.lookup import lookup_stream, promote_stream
 
@@ -33,7 +33,7 @@ def test_http_fetch():
     threading.Thread(target=server.serve_forever, daemon=True).start()
     fetch = http_fetch(f"http://127.0.0.1:{server.server_port}/base/")
     assert fetch("manifest.json") == b"body"
-    with pytest.raises(urllib.error.HTTPError):
+    with pytest.raises(HttpStatus):
         fetch("missing")
     server.shutdown()
 
