@@ -108,3 +108,26 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+#: Items in order are put into bins one after the other, as long as the table is one shard; every step hands the open bins on.
+OP2_SQL = f"""
+with recursive d as (select doc_id, source, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+twice as (select text from d group by text having count(*) > 1),
+o as (select doc_id, source, case when text in (select text from twice) then md5(text) end as cluster, n // {CAPACITY} as full_pieces, n % {CAPACITY} as rest, row_number() over (order by n % {CAPACITY} desc, doc_id) as turn from d),
+items as (select *, row_number() over (order by turn) as i from o where rest > 0 or full_pieces = 0),
+steps as (
+  select cast(0 as bigint) as i, cast([] as struct(room bigint, sources varchar[], clusters varchar[], held bigint)[]) as bins, cast(null as bigint) as bin, cast(null as bigint) as slot
+  union all
+  select i, case when bin is null then list_append(bins, struct_pack(room := {CAPACITY} - rest, sources := case when source is null then cast([] as varchar[]) else [source] end, clusters := case when cluster is null then cast([] as varchar[]) else [cluster] end, held := cast(1 as bigint)))
+    else list_concat(list_concat(bins[:bin], [struct_pack(room := bins[bin + 1].room - rest, sources := case when source is null then bins[bin + 1].sources else list_append(bins[bin + 1].sources, source) end,
+      clusters := case when cluster is null then bins[bin + 1].clusters else list_append(bins[bin + 1].clusters, cluster) end, held := bins[bin + 1].held + 1)]), bins[bin + 2 :]) end,
+    coalesce(bin, len(bins)), case when bin is null then 0 else bins[bin + 1].held end
+  from (
+    select items.i, bins, source, cluster, rest, list_sort(list_transform(list_filter(range(len(bins)), lambda k: bins[k + 1].room >= rest and (source is null or not list_contains(bins[k + 1].sources, source)) and (cluster is null or not list_contains(bins[k + 1].clusters, cluster))),
+      lambda k: struct_pack(room := bins[k + 1].room, k := cast(k as bigint))))[1].k as bin
+    from steps join items on items.i = steps.i + 1) t),
+own as (select turn, doc_id, p as piece, (select coalesce(max(bin) + 1, 0) from steps) + row_number() over (order by turn, p) - 1 as bin_id from (select turn, doc_id, unnest(range(full_pieces)) as p from o where full_pieces > 0) x)
+select items.doc_id, cast(full_pieces as bigint) as piece, cast(bin as bigint) as bin_id, cast(slot as bigint) as slot, cast(full_pieces * {CAPACITY} as bigint) as start, cast(rest as bigint) as length from steps join items on items.i = steps.i
+union all select doc_id, piece, bin_id, 0, piece * {CAPACITY}, {CAPACITY} from own
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op5_fingerprints": fingerprints.OP5_SQL, "op8_licenses": licenses.OP8_SQL, "op9_chat": chat.OP9_SQL, "op10_media": media.OP10_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op2_packing": packing.OP2_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op5_fingerprints": fingerprints.OP5_SQL, "op8_licenses": licenses.OP8_SQL, "op9_chat": chat.OP9_SQL, "op10_media": media.OP10_SQL}

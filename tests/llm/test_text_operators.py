@@ -152,6 +152,18 @@ def test_bpe(odd, none):
     assert bpe.decode_tokens(bpe.encode_documents(none)).count() == 0
 
 
+def test_bpe_known_ids(spark):
+    """Ids that the ranks are known to give, through encoding in a table and back."""
+    known = {
+        "": [], "Hello world": [15496, 995], "the  cat's 12345 \n\n tabs\t.": [1169, 220, 3797, 338, 17031, 2231, 220, 628, 22524, 197, 13], "naïve café – 漢字 🙂": [2616, 38776, 40304, 784, 10545, 120, 95, 27764, 245, 32485],
+        "\x00\xa0\u2028end  ": [188, 1849, 447, 101, 437, 220, 220], " <|endoftext|> ": [1279, 91, 437, 1659, 5239, 91, 29, 220],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(known)], "doc_id long, text string")
+    for r in bpe.decode_tokens(bpe.encode_documents(df)).collect():
+        text = list(known)[r["doc_id"]]
+        assert bytes(r["token_bytes"]) == b"".join(x.to_bytes(4, "little") for x in known[text]) and r["n_tokens"] == len(known[text]) and bytes(r["decoded"]) == text.encode()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab'sé1 .\n\t\x1c\xa0漢🙂 ", max_size=60), st.integers(1, 6))
 def test_safe_boundaries(text, size):
