@@ -1,9 +1,10 @@
 """The binary table format as a data source: header, keys, offsets, lengths, string arena.
 
 Reading plans ranges of entries; a task reads its part of the three arrays and
-the arena frames that its entries lie in.  Writing lays a table out in memory,
-as one file is one ordered layout, so it takes a single task; big tables belong
-into Parquet (``KeyedTable.write``).
+the arena frames that its entries lie in.  Writing (``write_table_file``) lays a
+table out by ranges: tasks make the arrays of a range of keys and the packed
+frames of a range of the arena, and what they have made is put end to end, so no
+process holds more than a part.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..errors import BadMagic, ChecksumMismatch, DuplicateKey, KeyOutOfRange, Malformed, MalformedHeader, PathTooLong, UnsupportedVersion, VerifyError, ZeroFrameSize
+from ..functions.keys import unsigned
 from ..meta import MAX_PATH_BYTES, Casing, HashKind, KeyWidth, TableMeta
+from ..operators.table import arena_offsets, check
+from ..session import checkpointed
 
 # Fixed values of the format (little-endian throughout).
 MAGIC, VERSION, HEADER_BYTES = b"HASHDB\0\0", 1, 80
@@ -72,39 +77,83 @@ class Header:
 
 
 def encode_table(pairs: list[tuple[int, str]], meta: TableMeta, frame_size: int | None = 16384, level: int = 3) -> bytes:
-    """The file of ``(unsigned key, path)`` pairs; ``frame_size`` None leaves the arena uncompressed."""
+    """The file of a few ``(unsigned key, path)`` pairs, held in memory; ``frame_size`` None leaves the arena uncompressed."""
     import numpy as np
-    import xxhash
-
-    rows = sorted(set(pairs))
-    for (a, _), (b, _) in zip(rows, rows[1:], strict=False):
-        if a == b:
-            raise DuplicateKey(a)
-    if meta.key_width is KeyWidth.U32:
-        for key, _ in rows:
-            if key > 0xFFFFFFFF:
-                raise KeyOutOfRange(key)
-    data = [p.encode() for _, p in rows]
-    place: dict[bytes, int] = {}
-    arena = bytearray()
-    for i in sorted(range(len(rows)), key=data.__getitem__):
-        if len(data[i]) > MAX_PATH_BYTES:
-            raise PathTooLong(rows[i][0], len(data[i]))
-        if data[i] not in place:
-            place[data[i]] = len(arena)
-            arena += data[i]
-    width = 4 if len(arena) <= 0xFFFFFFFF else 8
-    keys = np.array([k for k, _ in rows], dtype=np.uint64).astype(f"<u{int(meta.key_width)}").tobytes()
-    offsets = np.array([place[d] for d in data], dtype=np.uint64).astype(f"<u{width}").tobytes()
-    lengths = np.array([len(d) for d in data], dtype="<u2").tobytes()
+    import pyarrow.compute as pc
+
+    given = pa.table({"key": pa.array([k for k, _ in pairs], type=pa.uint64()), "path": pa.array([p for _, p in pairs], type=pa.large_string())})
+    table = given.group_by(["key", "path"]).aggregate([]).sort_by([("key", "ascending"), ("path", "ascending")])
+    keys, paths = table["key"].to_numpy(), table["path"].combine_chunks()
+    twice = np.flatnonzero(keys[1:] == keys[:-1])
+    if len(twice):
+        raise DuplicateKey(int(keys[twice[0]]))
+    if meta.key_width is KeyWidth.U32 and len(keys) and keys[-1] > 0xFFFFFFFF:
+        raise KeyOutOfRange(int(keys[np.searchsorted(keys, 0xFFFFFFFF, side="right")]))
+    lengths = pc.binary_length(paths).to_numpy(zero_copy_only=False)
+    distinct = paths.unique()
+    distinct = distinct.take(pc.sort_indices(distinct))
+    sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(sizes > MAX_PATH_BYTES)
+    if len(long):
+        raise PathTooLong(int(keys[pc.index(paths, distinct[int(long[0])]).as_py()]), int(sizes[long[0]]))
     if frame_size == 0:
         raise ZeroFrameSize("frames must have a size")
-    stored = bytes(arena) if frame_size is None else seekable(bytes(arena), frame_size, level)
-    gap = -(HEADER_BYTES + len(keys)) % width
-    offsets_at = HEADER_BYTES + len(keys) + gap
-    checksum = xxhash.xxh3_64_intdigest(keys + offsets + lengths + stored)
-    head = Header(meta, frame_size is not None, width, len(rows), HEADER_BYTES, offsets_at, offsets_at + len(offsets) + len(lengths), len(arena), len(stored), checksum)
-    return head.encode() + keys + bytes(gap) + offsets + lengths + stored
+    arena = b"".join(x.as_buffer().to_pybytes() for x in distinct.cast(pa.large_binary()))
+    starts = np.cumsum(sizes) - sizes
+    offsets = starts[pc.index_in(paths, value_set=distinct).to_numpy(zero_copy_only=False)] if len(keys) else starts
+    out = io.BytesIO()
+    layout = Layout(meta, len(keys), len(arena), frame_size is not None)
+    stored = arena if frame_size is None else seekable(arena, frame_size, level)
+    layout.write(out, [[layout.packed(keys, "keys")], [layout.packed(offsets, "offsets")], [layout.packed(lengths, "lengths")], [stored]])
+    return out.getvalue()
+
+
+class Layout:
+    """Where the sections of a file stand, and how they are put into it one after the other."""
+
+    def __init__(self, meta: TableMeta, entries: int, arena_bytes: int, compressed: bool):
+        self.meta, self.entries, self.arena_bytes, self.compressed = meta, entries, arena_bytes, compressed
+        self.offset_width = 4 if arena_bytes <= 0xFFFFFFFF else 8
+
+    def packed(self, values, section: str) -> bytes:
+        kind = {"keys": f"<u{int(self.meta.key_width)}", "offsets": f"<u{self.offset_width}", "lengths": "<u2"}[section]
+        return values.astype(kind).tobytes()
+
+    def write(self, out, sections, head: Header | None = None) -> Header:
+        """Writes the parts of the four sections, and the header before them, if it is known.
+
+        Else that is known at the end, and ``out`` is gone back in to put it there.
+        """
+        import xxhash
+
+        digest, written, known = xxhash.xxh3_64(), [], head
+        out.write(known.encode() if known else bytes(HEADER_BYTES))
+        for n, parts in enumerate(sections):
+            if n == 1:
+                gap = -(HEADER_BYTES + written[0]) % self.offset_width
+                out.write(bytes(gap))
+            size = 0
+            for part in parts:
+                out.write(part)
+                digest.update(part)
+                size += len(part)
+            written.append(size)
+        offsets_at = HEADER_BYTES + written[0] + gap
+        head = Header(self.meta, self.compressed, self.offset_width, self.entries, HEADER_BYTES, offsets_at, offsets_at + written[1] + written[2], self.arena_bytes, written[3], digest.intdigest())
+        if known is None:
+            out.seek(0)
+            out.write(head.encode())
+        return head
+
+
+class _Nowhere:
+    """For a first pass over the sections, which only finds the header."""
+
+    def write(self, data: bytes) -> None:
+        pass
+
+    def seek(self, at: int) -> None:
+        pass
 
 
 def seekable(data: bytes, frame_size: int, level: int) -> bytes:
@@ -116,8 +165,13 @@ def seekable(data: bytes, frame_size: int, level: int) -> bytes:
         raw = data[i : i + frame_size]
         frames.append(packer.compress(raw))
         sizes.append((len(frames[-1]), len(raw)))
+    return b"".join(frames) + seek_table(sizes)
+
+
+def seek_table(sizes: list[tuple[int, int]]) -> bytes:
+    """What closes an arena of frames of these stored and raw sizes."""
     table = b"".join(struct.pack("<II", *s) for s in sizes) + struct.pack("<IBI", len(sizes), 0, SEEKABLE)
-    return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(table)) + table
+    return struct.pack("<II", SKIPPABLE, len(table)) + table
 
 
 class TableFile:
@@ -361,10 +415,105 @@ class HashDbWriter(DataSourceArrowWriter):
                 system.delete_file(m.path)
 
 
-def write_table_file(df: DataFrame, path: str, meta: TableMeta, frame_size: int | None = 16384, level: int = 3) -> None:
-    df.sparkSession.dataSource.register(HashDbSource)
-    options = {"key_width": int(meta.key_width), "hash_kind": int(meta.hash_kind), "casing": int(meta.casing), "frame_size": -1 if frame_size is None else frame_size, "level": level}
-    df.select("key", "path").repartition(1).write.format("hashdb").options(**options).mode("append").save(path)
+_SECTIONS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("keys", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary())])
+_FRAMES = pa.schema([("frame", pa.int64()), ("raw", pa.int64()), ("stored", pa.binary())])
+#: Bytes of a frame of an arena that is left uncompressed, and rows whose arrays are one piece of a section.
+RAW_FRAME, SECTION_ROWS = 1 << 16, 1 << 16
+
+
+def section_parts(entries: DataFrame, layout: Layout) -> DataFrame:
+    """Rows of ``_SECTIONS``: the arrays of entries (``key, offset, length``) by ranges of unsigned keys."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for seq, batch in enumerate(batches):
+            columns = [layout.packed(batch[c].to_numpy().view("u8"), s) for c, s in (("key", "keys"), ("offset", "offsets"), ("length", "lengths"))]
+            yield pa.RecordBatch.from_pylist([dict(zip(_SECTIONS.names, (part, seq, *columns), strict=True))], schema=_SECTIONS)
+
+    dealt = entries.repartitionByRange(unsigned(F.col("key"))).sortWithinPartitions(unsigned(F.col("key")))
+    return dealt.select("key", "offset", "length").mapInArrow(run, "part int, seq int, keys binary, offsets binary, lengths binary")
+
+
+def frame_parts(arena: DataFrame, size: int, level: int | None) -> DataFrame:
+    """Rows of ``_FRAMES``: the frames of an arena (``path, offset, length``), packed unless ``level`` is None.
+
+    A path that lies in several frames gives each its piece.
+    """
+    import zstandard
+
+    each = arena.filter("length > 0").select("path", "offset", "length", F.explode(F.expr(f"sequence(offset div {size}, (offset + length - 1) div {size})")).alias("frame"))
+    first, last = F.greatest(F.col("frame") * size, "offset"), F.least((F.col("frame") + 1) * size, F.col("offset") + F.col("length"))
+    pieces = each.select("frame", first.alias("first"), F.substring(F.encode("path", "UTF-8"), (first - F.col("offset") + 1).cast("int"), (last - first).cast("int")).alias("piece"))
+
+    def run(batches):
+        packer = None if level is None else zstandard.ZstdCompressor(level=level)
+        now, held, out = None, [], []
+
+        def closed():
+            raw = b"".join(held)
+            return now, len(raw), raw if packer is None else packer.compress(raw)
+
+        for batch in batches:
+            for frame, piece in zip(batch["frame"].to_pylist(), batch["piece"].to_pylist(), strict=True):
+                if held and frame != now:
+                    out.append(closed())
+                    held = []
+                now = frame
+                held.append(piece)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _FRAMES, strict=True)], schema=_FRAMES)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(closed()), _FRAMES, strict=True)], schema=_FRAMES)
+
+    return pieces.repartitionByRange("frame").sortWithinPartitions("frame", "first").select("frame", "piece").mapInArrow(run, "frame long, raw long, stored binary")
+
+
+def write_table_file(df: DataFrame, path: str, meta: TableMeta, frame_size: int | None = 16384, level: int = 3) -> Header:
+    """Lays ``key, path`` rows out as one file; raises as ``check`` does, and for frames of size 0.
+
+    Sorting, layout and packing are the tasks' work and go to the shared
+    folder; the driver puts the parts end to end, a partition of them at a time.
+    """
+    from pyarrow import fs
+
+    pairs = checkpointed(df.select("key", "path").distinct())
+    check(pairs, meta)
+    if frame_size == 0:
+        raise ZeroFrameSize("frames must have a size")
+    arena = checkpointed(arena_offsets(pairs))
+    layout = Layout(meta, pairs.count(), arena.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], frame_size is not None)
+    sections = checkpointed(section_parts(pairs.join(arena, "path"), layout))
+    frames = checkpointed(frame_parts(arena, frame_size or RAW_FRAME, level if frame_size else None))
+
+    def of(name: str) -> Iterator[bytes]:
+        return (bytes(r[name]) for r in sections.select("part", "seq", name).orderBy("part", "seq").toLocalIterator())
+
+    def stored() -> Iterator[bytes]:
+        sizes = []
+        for r in frames.orderBy("frame").toLocalIterator():
+            sizes.append((len(r["stored"]), r["raw"]))
+            yield bytes(r["stored"])
+        if layout.compressed:
+            yield seek_table(sizes)
+
+    def parts() -> list[Iterator[bytes]]:
+        return [of("keys"), of("offsets"), of("lengths"), stored()]
+
+    system, target = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+    system.create_dir(os.path.dirname(target), recursive=True)
+    staged = f"{target}.{uuid.uuid4().hex}.tmp"
+    if isinstance(system, fs.LocalFileSystem):
+        with open(staged, "wb") as out:
+            head = layout.write(out, parts())
+    else:  # a store whose streams cannot go back
+        head = layout.write(_Nowhere(), parts())
+        with system.open_output_stream(staged) as out:
+            layout.write(out, parts(), head)
+    system.move(staged, target)
+    return head
 
 
 def read_table_file(spark, path: str) -> DataFrame:

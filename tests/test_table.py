@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.errors import BuildError, DuplicateKey, KeyOutOfRange, MergeConfig, PathTooLong, VerifyError
 from pathloom.meta import Casing, HashKind, KeyWidth, TableMeta
 from pathloom.operators.layered import ExtendedTable, LayeredTable, resolve
-from pathloom.operators.table import KeyedTable, arena_offsets, check, frame_ids, merge_lists, merge_report
+from pathloom.operators.table import KeyedTable, arena_offsets, check, descents, frame_ids, merge_lists, merge_report, placed_in_order, running
+from pathloom.sources.hashdb import Layout, _Nowhere, encode_table, open_file, write_table_file
 
 U64 = TableMeta(KeyWidth.U64, HashKind.XXH64)
 ROWS = [(1, "assets/characters/aatrox/aatrox.bin"), (0xDEADBEEFDEADBEEF - (1 << 64), "assets/characters/ahri/skins/skin11/ahri_skin11.dds"), (0x123456789ABCDEF0, "data/final/champions/zed.wad.client"), (-1, "x.png")]
@@ -99,3 +102,58 @@ def test_merge(spark):
 
 def test_errors_are_build_errors():
     assert issubclass(DuplicateKey, BuildError) and F is not None
+
+
+def test_table_file_made_by_many_tasks(spark, tmp_path):
+    """Files laid out by ranges equal those made in memory, with paths over several frames, shared paths and empty ones."""
+    r = random.Random(4)
+    pairs = {((r.getrandbits(64)), r.choice(["", "shared", "ü" * r.randint(1, 90), f"a/{r.random()}/" + "x" * r.randint(0, 200)])) for _ in range(700)}
+    pairs = list({k: (k, p) for k, p in pairs}.values())
+    signed = [(k - (1 << 64) if k >> 63 else k, p) for k, p in pairs]
+    df = spark.createDataFrame([*signed, signed[0]], "key long, path string").repartition(6)
+    for size in (None, 64, 1 << 14):
+        path = str(tmp_path / f"t{size}.lhdb")
+        head = write_table_file(df, path, TableMeta(), size)
+        whole = encode_table(pairs, TableMeta(), size)
+        with open(path, "rb") as f:
+            assert f.read() == whole
+        opened = open_file(path)
+        opened.verify()
+        assert opened.head == head and sorted(opened.rows(0, head.entries)) == sorted(signed)
+    layout = Layout(TableMeta(), 0, 0, False)
+    assert layout.write(_Nowhere(), [[], [], [], []]).entries == 0
+    none = str(tmp_path / "none.lhdb")
+    write_table_file(df.limit(0), none, TableMeta())
+    assert open_file(none).head.entries == 0 and encode_table([], TableMeta()) == open(none, "rb").read()
+
+
+def test_ranks_sums_and_descents_over_ranges(spark):
+    rows = [(i, (i * 37) % 101, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "at long, key long, size long").repartition(7)
+    ranked = {r["at"]: r["place"] for r in placed_in_order(df, F.col("key"), F.col("at")).collect()}
+    order = sorted(rows, key=lambda x: (x[1], x[0]))
+    assert ranked == {r[0]: n for n, r in enumerate(order)}
+    sums = {r["at"]: r["before"] for r in running(df, [F.col("at")], F.col("size"), "before").collect()}
+    assert sums == {i: sum(x[2] for x in rows[:i]) for i in range(500)}
+    stored = [(k, -k - 1 if k % 50 == 49 else k) for k in range(300)]
+    found = {(r["at"], r["key"], r["before"]) for r in descents(spark.createDataFrame(stored, "at long, key long").repartition(5)).collect()}
+    unsigned = lambda x: x % 2**64
+    assert found == {(k, b, a) for (_, a), (k, b) in zip(stored, stored[1:], strict=False) if unsigned(b) <= unsigned(a)}
+
+
+def test_layers_spread_resolved_probes(spark):
+    """Probes that an upper layer knows stay spread in the joins below."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        keys = spark.range(4000).select(F.col("id").alias("key"))
+        top = keys.withColumn("path", F.lit("top"))
+        below = keys.filter("key % 2 = 0").withColumn("path", F.lit("below"))
+        out = resolve(keys, [top, below]).withColumn("part", F.spark_partition_id())
+        counts = [r["count"] for r in out.groupBy("part").count().collect()]
+        assert sum(counts) == 4000 and len(counts) == 4 and max(counts) < 1500
+        assert out.filter("path <> 'top' or layer <> 0").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
