@@ -138,6 +138,12 @@ class KeyedTable:
         of = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
         return per_key.agg(of(F.col("n") > 1)("repeated_keys"), of(wide)("wide_keys"), of(F.col("size") > MAX_PATH_BYTES)("long_paths"), of(F.col("broken") > 0)("broken_paths"))
 
+    @staticmethod
+    def stored_bytes(spark: SparkSession, path: str) -> int:
+        """Bytes that a written table takes where it lies."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
     def mismatches(self) -> DataFrame:
         """Rows whose key is not the hash of their path."""
         return self.df.filter(self.hash_path(F.col("path")) != F.col("key"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,34 @@ def counted_hits(candidates: DataFrame, unknown: DataFrame, meta: TableMeta) ->
     return both.groupBy("key").agg(F.min(F.when(F.col("key").isNotNull(), F.col("path"))).alias("path"), F.count("*").alias("n"))
 
 
+@dataclass(frozen=True)
+class HuntState:
+    """What is known and what is looked for, at one moment of a hunt; every step makes a new state.
+
+    ``known`` is the given corpus (``path``), ``finds`` are the finds since
+    (``key, path`` each), ``unknown`` the keys that are left.
+    """
+
+    known: DataFrame
+    unknown: DataFrame
+    finds: tuple[DataFrame, ...] = ()
+
+    def corpus(self, since: int | None = None) -> DataFrame:
+        """All paths known by now, or the finds from number ``since`` on."""
+        known = self.known.select("path")
+        return reduce(DataFrame.union, (f.select("path") for f in self.finds[since:]), known if since is None else known.limit(0))
+
+    def add_known(self, paths: DataFrame) -> HuntState:
+        return replace(self, known=self.known.select("path").union(paths.select("path")))
+
+    def add_unknown(self, keys: DataFrame) -> HuntState:
+        return replace(self, unknown=self.unknown.select("key").union(keys.select("key")).distinct())
+
+    def promote(self, found: DataFrame) -> HuntState:
+        """Finds become known and are no longer looked for; what is left is written down."""
+        return replace(self, finds=(*self.finds, found), unknown=checkpointed(self.unknown.join(found, "key", "left_anti")))
+
+
 @dataclass
 class HuntReport:
     """``resolved`` is ``key, path, round, guesser``; ``stats`` has a row per generator and round."""
@@ -58,55 +87,43 @@ class Hunt:
         Only the finds and the keys that are left are written down; the corpus
         is the given one and the finds.
         """
-        known, left = corpus.select("path"), unknown.select("key").distinct()
+        state = HuntState(corpus.select("path"), unknown.select("key").distinct())
         spark = corpus.sparkSession
         resolved = spark.createDataFrame([], "key long, path string, round int, guesser string")
-        report = HuntReport(resolved, left, 0)
+        report = HuntReport(resolved, state.unknown, 0)
         if not self.guessers:
             return report
-        found_parts: list[DataFrame] = []
         seen: dict[int, int] = {}  # generator -> finds it has seen
         while True:
             report.rounds += 1
-            if left.isEmpty():
+            if state.unknown.isEmpty():
                 break
             this_round = 0
             for at, g in enumerate(self.guessers):
-                if left.isEmpty():
+                if state.unknown.isEmpty():
                     break
                 began = time.monotonic()
-                old = seen.get(at)
-                source = self._union(known, found_parts)
-                if not self.faithful and getattr(g, "local", False) and old is not None:
-                    source = self._union(None, found_parts[old:]) if len(found_parts) > old else known.limit(0)
-                seen[at] = len(found_parts)
-                candidates = g.guess(source)
+                whole = self.faithful or not getattr(g, "local", False)
+                candidates = g.guess(state.corpus(None if whole else seen.get(at)))
+                seen[at] = len(state.finds)
                 total = None
                 if count:
-                    counted = checkpointed(counted_hits(candidates, left, self.meta))
+                    counted = checkpointed(counted_hits(candidates, state.unknown, self.meta))
                     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
                     found = counted.filter("key is not null").select("key", "path")
                 else:
-                    found = checkpointed(hits(candidates, left, self.meta))
+                    found = checkpointed(hits(candidates, state.unknown, self.meta))
                 n = found.count()
                 report.stats.append({"round": report.rounds, "guesser": g.name, "candidates": total, "found": n, "seconds": time.monotonic() - began})
                 if n:
                     this_round += n
                     resolved = resolved.unionByName(found.withColumns({"round": F.lit(report.rounds), "guesser": F.lit(g.name)}))
-                    found_parts.append(found)
-                    left = checkpointed(left.join(found, "key", "left_anti"))
-            if not this_round or left.isEmpty():
+                    state = state.promote(found)
+            if not this_round or state.unknown.isEmpty():
                 break
-        report.resolved, report.unknown = resolved, left
+        report.resolved, report.unknown = resolved, state.unknown
         return report
 
-    @staticmethod
-    def _union(first: DataFrame | None, parts: list[DataFrame]) -> DataFrame:
-        for p in parts:
-            paths = p.select("path")
-            first = paths if first is None else first.union(paths)
-        return first
-
 
 def stats_frame(spark, report: HuntReport) -> DataFrame:
     return spark.createDataFrame([(s["round"], s["guesser"], s["candidates"], s["found"], s["seconds"]) for s in report.stats], "round int, guesser string, candidates long, found long, seconds double")

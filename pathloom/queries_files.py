@@ -5,6 +5,7 @@ from __future__ import annotations
 import asyncio
 import contextlib
 import http.server
+import os
 import threading
 import uuid
 import zipfile
@@ -22,8 +23,8 @@ from .meta import TABLES, KeyWidth, TableMeta
 from .operators import guessers as G
 from .operators.layered import ExtendedTable, LayeredTable
 from .operators.table import KeyedTable, check, descents, placed_in_order
-from .plans.catalog import Store, directory_fetch, http_fetch, http_fetch_async, rfc3339, version_of
-from .plans.hunt import Hunt, resolved_lines, stats_frame, targets
+from .plans.catalog import ENV, Store, cache_dir, copy_durably, directory_fetch, http_fetch, http_fetch_async, rfc3339, sha256_file, version_of, write_durably
+from .plans.hunt import Hunt, HuntState, resolved_lines, stats_frame, targets
 from .queries import _CORPUS_SQL, _KEYS_SQL, _MERGED_SQL, _PARTS_SQL, _SWAP_SQL, U32, _fnv_sql, _hex_sql, _keys, _lists, _parts, _probes, corpus
 from .registry import query
 from .registry import table as _t
@@ -224,6 +225,25 @@ def header_fields(spark, sf_dir):
     return spark.createDataFrame([(head.entries, int(head.meta.key_width), head.arena_bytes, int(head.meta.hash_kind), Header.decode(head.encode()) == head)], "entries long, key_width long, arena_bytes long, hash_kind long, again boolean")
 
 
+@query(f"select row_number() over (order by path) - 1 as place, path from {_CORPUS_SQL}")
+def arena_order(spark, sf_dir):
+    """A file's rows come in the order of their place in the arena."""
+    path = f"{_fresh(spark, 'order')}.lhdb"
+    write_table_file(corpus(spark, sf_dir).select(F.xxhash64("path").alias("key"), "path"), path, TableMeta())
+    opened = open_file(path)
+    return spark.createDataFrame([(n, p) for n, (_, p) in enumerate(opened.rows(0, opened.head.entries))], "place long, path string")
+
+
+@query("select count(*) as entries, sum(strlen(c_name))::BIGINT as arena_bytes, true as smaller from customer")
+def stored_stats(spark, sf_dir):
+    """Size of a table and of what is stored of it."""
+    path = _fresh(spark, "stored")
+    KeyedTable(_customers(spark, sf_dir), TableMeta()).write(path)
+    table = KeyedTable.open(spark, path)
+    stored = KeyedTable.stored_bytes(spark, f"{path}/path")
+    return table.stats().select("entries", "arena_bytes", (F.lit(stored) < F.col("arena_bytes") + 16 * F.col("entries")).alias("smaller"))
+
+
 @query("select s_suppkey::BIGINT as ord, row_number() over (order by s_suppkey) - 1 as place, (s_suppkey * 37) % 150 as key, p.p_name as path from supplier left join part p on p.p_partkey = (s_suppkey * 37) % 150 and p.p_partkey % 3 <> 0")
 def lookup_in_order(spark, sf_dir):
     """Answers come back in the order of the probes."""
@@ -329,6 +349,31 @@ def hunt_counters(spark, sf_dir):
     return stats_frame(spark, report).filter("round = 1").select("round", "guesser", "candidates", "found")
 
 
+@query(f"select count(*) as known, (select count(distinct key) from {_KEYS_SQL} k where key % 3 = 0 and key % 5 <> 0) as unknown, 1::BIGINT as finds from (select path from {_KEYS_SQL} k where key % 3 <> 0 union all select n_name from nation union all select path from {_KEYS_SQL} k where key % 3 = 0 and key % 5 = 0) t")
+def hunt_state(spark, sf_dir):
+    """Known paths and unknown keys are added, some keys are found: what is known then, and what is left."""
+    keys = _keys(spark, sf_dir)
+    left = keys.filter("key % 3 = 0")
+    state = HuntState(keys.filter("key % 3 <> 0").select("path"), left.filter("key % 2 = 0").select("key")).add_known(_nations(spark, sf_dir)).add_unknown(left.select("key")).promote(left.filter("key % 5 = 0"))
+    return spark.createDataFrame([(state.corpus().count(), state.unknown.count(), len(state.finds))], "known long, unknown long, finds long")
+
+
+class _Upper:
+    """A generator of one's own needs a name and ``guess``."""
+
+    name = "upper"
+
+    def guess(self, corpus: DataFrame) -> DataFrame:
+        return corpus.select(F.upper("path").alias("path"))
+
+
+@query(f"select min(upper(path)) as path, {_fnv_sql('lower(path)')} as key, 'upper' as guesser from {_CORPUS_SQL} group by 2")
+def hunt_own_guesser(spark, sf_dir):
+    """Every key of the corpus is hunted for with a generator that is not the library's."""
+    keys = _keys(spark, sf_dir)
+    return Hunt(U32, [_Upper()]).run(keys.select("path"), keys.select("key"), count=False).resolved.select("path", "key", "guesser")
+
+
 @query(f"select lpad(lower(to_hex(key)), 8, '0') || ' ' || lower(min(path)) as value from (select k.key, k.path from ({_SWAP_KNOWN_SQL}) s join {_KEYS_SQL} k on k.path = s.path and k.key % 3 = 0) t group by key")
 def hunt_lines(spark, sf_dir):
     """A hunt's finds as the lines of a list."""
@@ -445,6 +490,21 @@ def catalog_gc(spark, sf_dir):
     return spark.createDataFrame([(p.name,) for p in store.gc().deleted], "file string")
 
 
+@query("select '/named/folder' as folder, sha256('content') as digest, 0::BIGINT as left_over, 'content' as copied")
+def catalog_files(spark, sf_dir):
+    """The folder that the environment names; files are put in place as a whole."""
+    folder, before = _folder(spark, "files"), os.environ.get(ENV)
+    os.environ[ENV] = "/named/folder"
+    try:
+        named = str(cache_dir())
+    finally:
+        os.environ.pop(ENV)
+        os.environ.update({ENV: before} if before is not None else {})
+    write_durably(folder / "a", b"content")
+    copy_durably(folder / "a", folder / "b")
+    return spark.createDataFrame([(named, sha256_file(folder / "b"), len(list(folder.glob("*.tmp"))), (folder / "b").read_text())], "folder string, digest string, left_over long, copied string")
+
+
 @query("select true as first, false as second, true as after")
 def catalog_lock(spark, sf_dir):
     """One updater at a time."""
