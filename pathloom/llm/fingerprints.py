@@ -12,6 +12,11 @@ A text with no anchor before two content words falls back to the set of its
 word pairs, then of its words, then to the hash of the text, so unlike short
 texts have unlike fingerprints and equal texts always equal ones.
 
+Neighbours come together in one shuffle of the texts: ranges of ids, cut by a
+sample of them, are buckets, and each bucket also gets the first document of the
+next one.  So every text's signatures are found once, and once more those of its
+edited text.
+
 Defined cases: a null text is empty; documents of the same id follow each other
 in order of a hash of their text, equal rows count as one document in that
 order (and are each returned); a null id comes first; the only document is its
@@ -20,6 +25,7 @@ own next one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,56 +101,72 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(apart | (bound < least), F.lit(0.0)).otherwise(exact)
 
 
-def successors(rows: DataFrame) -> DataFrame:
-    """``p_doc, p_row, p_n, doc_id, row_hash``: each document (p) and the next one, the first after the last.
+#: Buckets for each split of the input, and ids that are sampled for each bucket's bounds.
+BUCKETS, SAMPLED = 8, 20
+_AT = "struct<known: boolean, id: bigint, row: bigint>"
+
+
+def bucket_of(at: Column, bounds: list[tuple[bool, int, int]]) -> Column:
+    """How many of the sorted ``bounds`` are not over ``at``, looked for among groups of them and then in one."""
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    told = lambda b: {"known": b[0], "id": b[1], "row": b[2]}
+    heads = F.from_json(F.lit(json.dumps([told(g[0]) for g in groups])), f"array<{_AT}>")
+    whole = F.from_json(F.lit(json.dumps([[told(b) for b in g] for g in groups])), f"array<array<{_AT}>>")
+    group = F.size(F.filter(heads, lambda b: b <= at))
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + F.size(F.filter(F.get(whole, group - 1), lambda b: b <= at)))
 
-    Only ids are sorted: by ranges, then inside each range; a range's last one
-    is followed by the next range's first, of which there is one per partition.
-    """
-    ids = rows.select("doc_id", "row_hash", F.length("text").cast("long").alias("n")).distinct()
-    order = [F.col("doc_id").asc_nulls_first(), F.col("row_hash").asc()]
-    placed = checkpointed(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row_hash")).alias("first"))
-    by_part = Window.orderBy("part")  # one row for each partition
-    firsts = firsts.select("part", F.coalesce(F.lead("first").over(by_part), F.first("first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    here = Window.partitionBy("part").orderBy(*order)
-    led = placed.withColumn("follower", F.lead(F.struct(F.lit(True).alias("known"), "doc_id", "row_hash")).over(here)).join(F.broadcast(firsts), "part")
-    of = lambda f: F.when(F.col("follower").isNotNull(), F.col(f"follower.{f}")).otherwise(F.col(f"after.{f}"))
-    return led.select(F.col("doc_id").alias("p_doc"), F.col("row_hash").alias("p_row"), F.col("n").alias("p_n"), of("doc_id").alias("doc_id"), of("row_hash").alias("row_hash"))
 
+def _bounds(ids: DataFrame, most: int) -> list[tuple[bool, int, int]]:
+    """At most ``most`` bounds that cut ``ids`` (``at``) into parts of similar size, from a sample of a bounded number of them."""
+    share = min(1.0, SAMPLED * most / max(ids.count(), 1))
+    sample = sorted((r["at"]["known"], r["at"]["id"], r["at"]["row"]) for r in ids.sample(share, seed=7).collect())
+    step = max(1, len(sample) // most)
+    return sample[step::step]
 
-def _key(doc: str, row: str) -> list[Column]:
-    return [F.coalesce(F.col(doc), F.lit(0)).alias("k_doc"), F.col(doc).isNull().alias("k_null"), F.col(row).alias("k_row")]
+
+def beside_next(docs: DataFrame) -> DataFrame:
+    """``bucket, ghost, at, text, copies``: the distinct documents by buckets of consecutive ones; a ghost is the next bucket's first (the very first, after the last)."""
+    text = text_of(docs)
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(F.struct(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("row")).alias("at"), text.alias("text"))
+    ids = checkpointed(rows.select("at").distinct())
+    cut = _bounds(ids, BUCKETS * max(1, rows.rdd.getNumPartitions()))
+    firsts = sorted((r["bucket"], r["first"]) for r in ids.groupBy(bucket_of(F.col("at"), cut).alias("bucket")).agg(F.min("at").alias("first")).collect())
+    ghosts = [(first, firsts[n - 1][0]) for n, (_, first) in enumerate(firsts)]
+    sent_to = docs.sparkSession.createDataFrame(ghosts, f"first {_AT}, before int")
+    dealt = rows.withColumn("bucket", bucket_of(F.col("at"), cut)).join(F.broadcast(sent_to), F.col("at") == F.col("first"), "left")
+    own = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
+    to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ghost"))))
+    sent = dealt.select(F.explode(to).alias("to"), "at", "text").select("to.bucket", "to.ghost", "at.known", "at.id", "at.row", "text").repartition("bucket")
+    return sent.groupBy("bucket", "ghost", "known", "id", "row").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
 def compare_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
-    """Every document beside its next one: texts, edited text, the signatures of both, and the hashes of the next one's.
+    """Every document beside its next one: text, edited text, the fingerprints of both, and the signatures' hashes of these and of the next one.
 
     The text with its last ``1/share`` replaced by as much of the next
     document's beginning is the edited text.
     """
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
-    keyed = rows.select(*_key("doc_id", "row_hash"), "text")
-    chain = successors(rows)
-    links = chain.select(*_key("doc_id", "row_hash"), "p_doc", "p_row", "p_n")
-    key = ["k_doc", "k_null", "k_row"]
-    sent = with_signatures(keyed.join(links, key), "text", "next_signatures")
-    sent = sent.select("p_doc", "p_row", F.expr(f"left(text, cast(p_n div {share} as int))").alias("prefix"), hashes(F.col("next_signatures")).alias("next_hashes"))
-    sent = sent.select(*_key("p_doc", "p_row"), "prefix", "next_hashes").dropDuplicates(key)
-    both = keyed.join(sent, key)
-    n = F.length("text")
-    edited = both.withColumn("edited", F.concat(F.expr(f"left(text, length(text) - cast(length(text) div {share} as int))"), F.col("prefix")))
-    signed = with_signatures(with_signatures(edited, "text", "signatures"), "edited", "edited_signatures")
-    return signed.select(F.when(~F.col("k_null"), F.col("k_doc")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "edited", "signatures", "edited_signatures", "next_hashes")
+    signed = with_signatures(beside_next(docs), "text", "signatures").select("bucket", "ghost", "known", "id", "row", "copies", "text", fingerprint(F.col("signatures")).alias("fingerprint"), hashes(F.col("signatures")).alias("hashes"))
+    along = Window.partitionBy("bucket").orderBy("ghost", "known", "id", "row")
+    led = signed.withColumn("next_text", F.lead("text").over(along)).withColumn("next_hashes", F.lead("hashes").over(along)).filter("not ghost")
+    keep = F.expr(f"cast(length(text) div {share} as int)")
+    edited = led.withColumn("edited", F.concat(F.expr(f"left(text, length(text) - cast(length(text) div {share} as int))"), F.left("next_text", keep))).drop("next_text")
+    both = with_signatures(edited, "edited", "edited_signatures")
+    out = both.select(
+        "copies", F.when(F.col("known"), F.col("id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "text", "edited", "fingerprint", "hashes", "next_hashes",
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"), hashes(F.col("edited_signatures")).alias("edited_hashes"),
+    )
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = compare_with_next(table(spark, sf_dir, "documents"))
-    own = F.col("own_hashes")
-    return c.withColumn("own_hashes", hashes(F.col("signatures"))).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("signatures")).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(own, hashes(F.col("edited_signatures"))).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"), F.size("signatures").cast("long").alias("n_signatures"), length_partition(F.col("signatures")).cast("long").alias("length_partition"),
+    own = F.col("hashes")
+    return c.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(own, F.col("edited_hashes")).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"),
+        F.size(own).cast("long").alias("n_signatures"), length_partition(own).cast("long").alias("length_partition"),
     )
 
 

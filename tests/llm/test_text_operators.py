@@ -378,4 +378,21 @@ def test_fingerprints_equal_brute_force(odd, none, spark, tmp_path):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert fingerprints.compare_with_next(none).count() == 0
     r = fingerprints.compare_with_next(odd.filter("doc_id = 201")).first()
-    assert r["edited"] == r["text"][: len(r["text"]) - len(r["text"]) // 4] + r["text"][: len(r["text"]) // 4] and len(r["next_hashes"]) == len(r["signatures"])
+    assert r["edited"] == r["text"][: len(r["text"]) - len(r["text"]) // 4] + r["text"][: len(r["text"]) // 4] and sorted(r["next_hashes"]) == sorted(r["hashes"])
+
+
+def test_fingerprint_buckets(spark, monkeypatch):
+    """Wherever buckets are cut, each document meets the next one: with large ids, many of one id, and copies."""
+    import xxhash
+
+    rows = [(2**53 + 1 + 3 * i, f"the cat{i} sat{i} on the mat{i} ran") for i in range(60)] + [(5, f"a dog{i} ran off") for i in range(40)] + [(7, "the same old text") for _ in range(30)] + [(None, "x y"), (-(2**63), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, (xxhash.xxh64_intdigest(x[1].encode(), 42) + 2**63) % 2**64))
+    want = {x: order[(k + 1) % len(order)][1] for k, x in enumerate(order)}
+    for buckets in (1, 8, 40):
+        monkeypatch.setattr(fingerprints, "BUCKETS", buckets)
+        got = fingerprints.compare_with_next(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            u, k = want[r["doc_id"], r["text"]], len(r["text"]) // 4
+            assert r["edited"] == r["text"][: len(r["text"]) - k] + u[:k] and len(r["next_hashes"]) == len(spot_signatures(u))
