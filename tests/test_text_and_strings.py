@@ -1,8 +1,11 @@
+import zipfile
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pathloom.functions import strings as S
+from pathloom.sources import mining
 from pathloom.sources.mining import mine_archives, mine_report, scan_tokens, tree_strings
 from pathloom.sources.textio import hash_lines, locate, read_hash_list, read_seeds, read_unknown
 
@@ -58,8 +61,6 @@ def test_mining(spark, tmp_path):
     assert got == {"assets/a.dds"}
     trees = spark.createDataFrame([('{"a/b.c": [1, {"x": "data/q.bin and more"}], "n": null}',), ("{broken assets/z.tex",), (None,)], "t string")
     assert {r[0] for r in tree_strings(trees, "t").collect()} == {"a/b.c", "x", "data/q.bin and more", "data/q.bin", "assets/z.tex", "n"}
-    import zipfile
-
     with zipfile.ZipFile(tmp_path / "a.wad", "w") as z:
         z.writestr("one", b"\0\1assets/x/y.dds\xff junk")
         z.writestr("two", b"PROP" + b"data/p.bin")
@@ -77,6 +78,19 @@ def test_mining(spark, tmp_path):
         def read():
             raise OSError
 
-        yield 5, read
+        yield 5, 0, read
 
     assert mine_report(mine_archives(spark, str(tmp_path / "a.wad"), splitter=breaking))[2].first()[0] == 1
+
+
+def test_mining_by_ranges(spark, tmp_path, monkeypatch):
+    """Every chunk is read once, however the archive is cut, and from its content where only Spark reads the store."""
+    with zipfile.ZipFile(tmp_path / "a.wad", "w") as z:
+        for i in range(40):
+            z.writestr(f"m{i}", f"assets/file{i}.dds".encode() * (i % 3))
+    want = {f"assets/file{i}.dds" for i in range(40) if i % 3 == 1} | {f"assets/file{i}.ddsassets/file{i}.dds" for i in range(40) if i % 3 == 2}
+    for size in (50, 700, 1 << 20):
+        mined = mine_archives(spark, str(tmp_path / "a.wad"), range_bytes=size)
+        assert mined.filter("token is null").count() == 40 and sorted(r["token"] for r in mined.filter("token is not null").collect()) == sorted(want)
+    monkeypatch.setattr(mining, "_opened", lambda path: None)
+    assert {r["token"] for r in mine_archives(spark, str(tmp_path / "a.wad")).filter("token is not null").collect()} == want
