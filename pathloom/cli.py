@@ -20,7 +20,7 @@ from .operators.table import KeyedTable, merge_lists, merge_report
 from .plans.catalog import Store, directory_fetch, http_fetch, release_url
 from .plans.hunt import Hunt, resolved_lines, targets
 from .session import local_session, ship
-from .sources.hashdb import open_file, write_table_file
+from .sources.tablefile import open_file, write_table_file
 from .sources.mining import mine_archives, mine_report
 from .sources.textio import hash_lines, locate, read_hash_list, read_seeds, read_unknown
 

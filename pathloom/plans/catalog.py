@@ -26,7 +26,7 @@ from ..errors import BadRemoteFilename, DownloadMismatch, FetchFailed, HttpStatu
 from ..meta import TABLES
 from ..operators.layered import LayeredTable
 from ..operators.table import KeyedTable
-from ..sources.hashdb import open_file, read_table_file
+from ..sources.tablefile import open_file, read_table_file
 
 # Fixed values of the on-disk catalog.
 MANIFEST, SCHEMA, EXTENSION, LOCK = "manifest.json", 1, "lhdb", ".update.lock"

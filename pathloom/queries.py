@@ -22,7 +22,7 @@ from .plans.hunt import Hunt, hits
 from .registry import QUERIES, SQL, query
 from .registry import table as _t
 from .session import checkpointed, shared_dir
-from .sources.hashdb import read_table_file, write_table_file
+from .sources.tablefile import read_table_file, write_table_file
 from .sources.mining import scan_tokens, tree_strings
 from .sources.textio import parse_hash_lines
 

@@ -29,7 +29,7 @@ from .queries import _CORPUS_SQL, _KEYS_SQL, _MERGED_SQL, _PARTS_SQL, _SWAP_SQL,
 from .registry import query
 from .registry import table as _t
 from .session import shared_dir
-from .sources.hashdb import Header, open_bytes, open_file, write_table_file
+from .sources.tablefile import Header, open_bytes, open_file, write_table_file
 from .sources.mining import mine_archives, mine_report
 from .sources.textio import hash_lines, locate, read_hash_list, read_seeds, read_unknown, write_hash_list
 
@@ -540,7 +540,7 @@ _ERRORS = ["BadMagic", "ChecksumMismatch", "DuplicateKey", "InvalidVersion", "Ke
 def error_kinds(spark, sf_dir):
     """Every way to fail has an error of its own."""
     from .plans.catalog import Manifest
-    from .sources.hashdb import encode_table
+    from .sources.tablefile import encode_table
 
     store, newer = _catalog(spark, sf_dir), _catalog(spark, sf_dir, rows=50)
     good = encode_table([(1, "a"), (2, "b")], TableMeta(), None)

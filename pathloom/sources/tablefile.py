@@ -310,22 +310,22 @@ def open_file(path: str) -> TableFile:
 _SCHEMA = pa.schema([("key", pa.int64()), ("path", pa.string())])
 
 
-class HashDbSource(DataSource):
-    """``format("hashdb")``. Options: ``path``; reading ``range_entries, pushdown``; writing ``key_width, hash_kind, casing, frame_size, level``."""
+class TableFileSource(DataSource):
+    """``format("keyed_table")``. Options: ``path``; reading ``range_entries, pushdown``; writing ``key_width, hash_kind, casing, frame_size, level``."""
 
     @classmethod
     def name(cls) -> str:
-        return "hashdb"
+        return "keyed_table"
 
     def schema(self) -> str:
         return "key long, path string"
 
     def reader(self, schema) -> DataSourceReader:
-        kind = HashDbLookup if self.options.get("pushdown", "false").lower() == "true" else HashDbReader
+        kind = TableFileLookup if self.options.get("pushdown", "false").lower() == "true" else TableFileReader
         return kind(self.options["path"], int(self.options.get("range_entries", 250_000)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return HashDbWriter(dict(self.options))
+        return TableFileWriter(dict(self.options))
 
 
 class EntryRange(InputPartition):
@@ -333,7 +333,7 @@ class EntryRange(InputPartition):
         self.start, self.end = start, end
 
 
-class HashDbReader(DataSourceReader):
+class TableFileReader(DataSourceReader):
     def __init__(self, path: str, range_entries: int):
         self.path, self.step, self.wanted = path, range_entries, None
 
@@ -355,7 +355,7 @@ class HashDbReader(DataSourceReader):
             yield _batch(rows)
 
 
-class HashDbLookup(HashDbReader):
+class TableFileLookup(TableFileReader):
     """Finds keys that a filter names by bisection; for sessions that let Python sources see filters."""
 
     def pushFilters(self, filters):
@@ -377,7 +377,7 @@ class Written(WriterCommitMessage):
         self.path = path
 
 
-class HashDbWriter(DataSourceArrowWriter):
+class TableFileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.o = options
 
@@ -517,6 +517,6 @@ def write_table_file(df: DataFrame, path: str, meta: TableMeta, frame_size: int
 
 
 def read_table_file(spark, path: str) -> DataFrame:
-    spark.dataSource.register(HashDbSource)
+    spark.dataSource.register(TableFileSource)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("hashdb").option("pushdown", pushdown).load(path)
+    return spark.read.format("keyed_table").option("pushdown", pushdown).load(path)

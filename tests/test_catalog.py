@@ -10,7 +10,7 @@ from pathloom import cli
 from pathloom.errors import BadMagic, BadRemoteFilename, ChecksumMismatch, DownloadMismatch, DuplicateKey, FetchFailed, InvalidVersion, KeyOutOfRange, Malformed, MalformedHeader, ManifestError, OpenError, TableNotFound, UnsupportedSchema, UnsupportedVersion, VersionReused, ZeroFrameSize
 from pathloom.meta import TABLES, Casing, HashKind, KeyWidth, TableMeta
 from pathloom.plans.catalog import Manifest, Store, cache_dir, directory_fetch, is_version, rfc3339, version_of
-from pathloom.sources.hashdb import HEADER_BYTES, encode_table, open_bytes, open_file, read_table_file, write_table_file
+from pathloom.sources.tablefile import HEADER_BYTES, encode_table, open_bytes, open_file, read_table_file, write_table_file
 
 U64 = TableMeta(KeyWidth.U64, HashKind.XXH64)
 U32 = TableMeta(KeyWidth.U32, HashKind.FNV1A32)

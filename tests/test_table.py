@@ -7,7 +7,7 @@ from pathloom.errors import BuildError, DuplicateKey, KeyOutOfRange, MergeConfig
 from pathloom.meta import Casing, HashKind, KeyWidth, TableMeta
 from pathloom.operators.layered import ExtendedTable, LayeredTable, resolve
 from pathloom.operators.table import KeyedTable, arena_offsets, check, descents, frame_ids, merge_lists, merge_report, placed_in_order, running
-from pathloom.sources.hashdb import Layout, _Nowhere, encode_table, open_file, write_table_file
+from pathloom.sources.tablefile import Layout, _Nowhere, encode_table, open_file, write_table_file
 
 U64 = TableMeta(KeyWidth.U64, HashKind.XXH64)
 ROWS = [(1, "assets/characters/aatrox/aatrox.bin"), (0xDEADBEEFDEADBEEF - (1 << 64), "assets/characters/ahri/skins/skin11/ahri_skin11.dds"), (0x123456789ABCDEF0, "data/final/champions/zed.wad.client"), (-1, "x.png")]
