@@ -13,7 +13,10 @@ _shipped: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A session on this machine, for tests, the command line and the bench."""
+    """The session that is there, as it is; else one on this machine, for the command line."""
+    there = SparkSession.getActiveSession()
+    if there is not None:
+        return there
     return (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", partitions).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
@@ -27,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     machine may go without that setting and gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or "file://" + tempfile.mkdtemp(prefix="pathloom-")).rstrip("/")
 
