@@ -300,34 +300,44 @@ def verified_links(docs: DataFrame, reps: DataFrame, wanted: DataFrame, threshol
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node of each linked node's component.
+    """``name, label``: the smallest name of each linked name's component.
 
-    Every node takes the least label among its neighbours, then its label's own
+    Every name takes the least label among its neighbours, then its label's own
     label, until nothing changes; only labels and links move.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("name"), F.least("a", "b").alias("label")))
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        parents = nearer.select(F.col("node").alias("parent"), F.col("label").alias("root"))
-        now = checkpointed(nearer.join(parents, nearer["label"] == parents["parent"]).select("node", "was", F.least("label", "root").alias("label")))
-        labels = now.select("node", "label")
+        heard = both.join(labels, both["b"] == labels["name"]).groupBy("a").agg(F.min("label").alias("heard"))
+        nearer = labels.join(heard, labels["name"] == heard["a"]).select("name", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        parents = nearer.select(F.col("name").alias("parent"), F.col("label").alias("root"))
+        now = checkpointed(nearer.join(parents, nearer["label"] == parents["parent"]).select("name", "was", F.least("label", "root").alias("label")))
+        labels = now.select("name", "label")
         if now.filter("was <> label").isEmpty():
             return labels
 
 
+def class_of_nodes(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node, class_id`` of the linked nodes.
+
+    Nodes go by names that begin with their smallest document, so that a
+    component's smallest name holds its class, and no node needs to ask for it.
+    """
+    named = reps.select(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "node").alias("name"))
+    of = lambda end: named.select(F.col("name").alias(end), F.col("name.node").alias(f"{end}_node"))
+    pairs = links.select(F.col("a").alias("a_node"), F.col("b").alias("b_node")).join(of("a"), "a_node").join(of("b"), "b_node").select("a", "b")
+    return components(checkpointed(pairs)).select(F.col("name.node").alias("node"), F.col("label.doc_id").alias("class_id"))
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``doc_id, row_hash, class_id, n_links, n_copies`` for every row of ``docs``; ``row_hash`` is xxhash64 of the text."""
     nodes = checkpointed(nodes_of(docs, threshold, recall))
     reps = checkpointed(nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
     wanted = checkpointed(with_candidates(tasks_of(reps, threshold), threshold))
     links = checkpointed(verified_links(docs, reps, wanted, threshold))
-    labels = components(links.filter("b is not null"))
+    found = class_of_nodes(links.filter("b is not null"), reps)
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    known = reps.select("node", "doc_id", "n_copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = known.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    classes = reps.select("node", "doc_id", "n_copies").join(found, "node", "left").join(degree, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return nodes.select("doc_id", "row_hash", "node").join(classes, "node", "left").select("doc_id", "row_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
