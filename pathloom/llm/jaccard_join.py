@@ -7,13 +7,21 @@ Chosen paths: a set x follows a token j if a random hash of j is below
 ``1 / (THRESHOLD * |x|)``, so it takes 1.25 paths on average, and two similar
 sets share one with a fixed chance.  Runs with fresh hashes are repeated until
 the chance that no path is shared, or that the sketches below rule the pair
-out, is below ``1 - RECALL``; a path that several runs choose is walked once.  All sets of a path are a bucket, and all pairs of
-a bucket are compared: at once up to ``BRUTE`` sets, in a larger one block by
-block.  Blocks are of one class of sizes, and only blocks of the same or of
-neighbouring classes meet, as no other sizes can be as similar as the
-threshold.  So no pair that shares a path goes uncompared, and the recall is the
-same in buckets of any size; the work in a bucket grows with the square of its
-sets of similar size.
+out, is below ``1 - RECALL``; a path that several runs choose is walked once.
+All sets of a path are a bucket, and all pairs of a bucket of up to ``BRUTE``
+sets are compared.
+
+A larger bucket, as of a passage that many texts share, is split: its sets go
+down paths of up to ``DEPTH`` tokens, each drawn from the whole set by a hash
+that depends on the path so far, until a bucket is small.  Similar sets stay
+together through all levels with a chance that falls with the depth, so the
+runs are as many more as the target recall asks for.  Buckets whose sets are
+alike for the most part (by the sketches of some of them), which no token can
+tell apart, and those that are large even after ``DEPTH`` tokens, are compared
+block by block: blocks are of one class of sizes, and only blocks of the same or
+of neighbouring classes meet, as no other sizes can be as similar as the
+threshold.  So no pair that shares a path goes uncompared; the work in such a
+bucket grows with the square of its sets of similar size.
 
 A pair is looked at in one bucket only, that of the least path it shares.  A
 sketch of 64 coordinates sorts out pairs that are far off; all others are
@@ -35,12 +43,13 @@ id never names a class that has another id.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, emit, pieces, table, texts
+from .common import checkpointed, emit, pieces, stored, table, texts, thrown_away
 from .words import WORD_BATCH, Words
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -48,6 +57,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 BRUTE, BLOCK, TOKENS = 512, 1024, 1 << 22
 #: Minhash coordinates of a sketch, one byte each, and how many must agree for a pair to be verified.
 COORDS, AGREE = 64, 38
+#: Tokens of a path at most; share of coordinates in which the sets of a bucket that is not split any more agree on average, and how many of them are looked at for that.
+DEPTH, ALIKE, LOOKED_AT = 5, 0.5, 32
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 #: A set's number of links in a block (``b`` is null), or a link.
@@ -60,15 +71,27 @@ def sketch_miss(threshold: float = THRESHOLD) -> float:
     return sum(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(AGREE))
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
-    """Runs after which two sets at the threshold are missed, for want of a shared path or by their sketches, with a chance of at most ``1 - recall``.
+def survival(depth: int) -> float:
+    """The chance that two sets at the threshold share a path of ``depth`` tokens in one run, at worst.
 
-    At worst one set holds the other, and one path is expected to be shared in each run.
+    At worst one set holds the other, and one token is expected to be shared at
+    the end of each shared path.
+    """
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - math.exp(-s)
+    return s
+
+
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = 1) -> int:
+    """Runs after which two sets at the threshold share no path of ``depth`` tokens with a chance of at most half of what ``1 - recall`` and the sketches leave.
+
+    The other half is for the other of the two steps, single tokens and deeper paths.
     """
     left = 1 - recall - sketch_miss(threshold)
     if left <= 0:
         raise ValueError(f"sketches of {COORDS} coordinates allow no recall of {recall} at {threshold}")
-    return math.ceil(math.log(1 / left))
+    return math.ceil(math.log(left / 2) / math.log(1 - survival(depth)))
 
 
 def _constants(seed: int, n: int):
@@ -165,22 +188,129 @@ _MEMBER_DDL = "path long, task string, side int, node binary, size int, sketch b
 _WHOLE = 2
 
 
-def tasks_of(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+_TREE = pa.schema([("node", pa.binary()), ("size", pa.int32()), ("level", pa.int32()), ("parent", pa.list_(pa.int64())), ("path", pa.list_(pa.int64()))])
+
+
+def chosen_paths(tokens, roots, threshold: float, depth: int = DEPTH):
+    """``parents, paths`` of each level: the paths that a set takes from the ``roots``, one for each run; every step is drawn from all its tokens."""
+    import numpy as np
+
+    below = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+    mixed, at = tokens ^ (tokens >> np.uint64(31)), roots
+    width = max(1, (1 << 20) // len(tokens))
+    for _ in range(depth):
+        parents, found = [at[:0]], [at[:0]]
+        for start in range(0, len(at), width):
+            some = at[start : start + width]
+            odd, low = some * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), some * np.uint64(0xC2B2AE3D27D4EB4F)
+            i, t = np.nonzero((mixed ^ low[:, None]) * odd[:, None] < below)
+            step = (some[i] ^ (mixed[t] * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xA0761D6478BD642F)
+            parents.append(some[i])
+            found.append(step ^ (step >> np.uint64(29)))
+        at = np.concatenate(found)
+        yield np.concatenate(parents), at
+
+
+def trees_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Rows of ``_TREE``: for each of ``nodes`` and each level, its paths and the paths that they go on from."""
+    runs = runs_for(recall, threshold, DEPTH)
+
+    def run(batches):
+        words, roots = Words(), _constants(17, runs)[0]
+
+        def rows():
+            for node, tokens in _sets_of(batches, words):
+                for level, (parents, paths) in enumerate(chosen_paths(tokens, roots, threshold), 1):
+                    yield node, len(tokens), level, parents.view("i8").tolist(), paths.view("i8").tolist()
+
+        yield from emit(_TREE, rows(), lambda r: 16 * len(r[3]))
+
+    return _texts_of(docs, reps, nodes).mapInArrow(run, "node binary, size int, level int, parent array<long>, path array<long>")
+
+
+def _few(n: str = "n", tokens: str = "tokens"):
+    return (F.col(n) <= BRUTE) & (F.col(tokens) <= TOKENS)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``path, n, tokens`` of the paths that several sets take."""
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
+
+
+def alike(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``path, stays`` of the buckets ``large`` (``path, n, node``): whether their sets are alike for the most part, by the sketches of about ``LOOKED_AT`` of each."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            found = []
+            for some in batch["some"].to_pylist():
+                m = _matrix(some)
+                agree = (m[:, None, :] == m[None, :, :]).mean(axis=2)
+                found.append(len(m) < 2 or bool((agree.sum() - len(m)) / (len(m) * (len(m) - 1)) >= ALIKE))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(found, type=pa.bool_())], names=["path", "stays"])
+
+    looked = large.filter(F.pmod(F.xxhash64("node", "path"), F.greatest(F.floor(F.col("n") / LOOKED_AT), F.lit(1))) == 0)
+    return looked.select("path", "node").join(sketches, "node").groupBy("path").agg(F.collect_list("sketch").alias("some")).mapInArrow(run, "path long, stays boolean")
+
+
+def told_apart(members: DataFrame, sketches: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets' ``members``, those of buckets that stay as they are and those of buckets that are split; of the ``last`` level all stay."""
+    if last:
+        return members, members.limit(0)
+    told = checkpointed(members.join(alike(members, sketches), "path", "left").withColumn("stays", F.coalesce("stays", F.lit(False))))
+    return told.filter("stays").drop("stays"), told.filter("not stays").drop("stays")
+
+
+def split_buckets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """``node, path, size, n, tokens``: the buckets that ``nodes`` end in, each small, of sets that are alike, or of ``DEPTH`` tokens."""
+    trees, kept = stored(trees_of(docs, reps, nodes, threshold, recall), "trees")
+    sketches = reps.select("node", "sketch")
+    step = F.arrays_zip("parent", "path")
+    ends, going = [], None
+    for level in range(1, DEPTH + 1):
+        here = trees.filter(F.col("level") == level)
+        # of the steps of this level only those that go on from a bucket that is split
+        steps = here.withColumn("step", F.explode(step)) if going is None else here.join(going, "node").withColumn("step", F.explode(F.filter(step, lambda s: F.array_contains("from", s["parent"]))))
+        rows = checkpointed(steps.select("node", "size", "step.path"))
+        members = checkpointed(rows.join(_counted(rows), "path"))
+        ends.append(members.filter(_few()))
+        large = members.filter(~_few())
+        if large.isEmpty():
+            break
+        stay, split = told_apart(large, sketches, level == DEPTH)
+        ends.append(stay)
+        going = split.groupBy("node").agg(F.collect_set("path").alias("from"))
+    found = checkpointed(reduce(DataFrame.unionByName, (e.select("node", "path", "size", "n", "tokens") for e in ends)).dropDuplicates(["node", "path"]))
+    thrown_away(docs.sparkSession, kept)
+    return found
+
+
+def tasks_of(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Rows of ``_MEMBER``: which sets are compared with which.
 
     Sets of the same ``path`` and ``task`` are: all with all where ``side`` is
     ``_WHOLE``, those of side 0 with those of side 1 elsewhere.
     """
-    level = reps.select(F.explode("paths").alias("path"), "node", "size", "sketch", "paths")
-    counts = level.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
-    known = checkpointed(level.join(counts, "path"))
-    few = (F.col("n") <= BRUTE) & (F.col("tokens") <= TOKENS)
-    names = [f.name for f in _MEMBER]
-    small = known.filter(few).withColumn("task", F.lit("")).withColumn("side", F.lit(_WHOLE)).select(names)
-
+    rows = reps.select(F.explode("paths").alias("path"), "node", "size")
+    known = checkpointed(rows.join(_counted(rows), "path"))
+    members, info = known, reps.select("node", "sketch", "paths")
+    large = known.filter(~_few())
+    if not large.isEmpty():
+        stay, split = told_apart(large, info.select("node", "sketch"), False)
+        deep = split.select("node").distinct()
+        ends = split_buckets(docs, reps, deep, threshold, recall)
+        # the buckets that a split set is in are those that it ends in, and those of single tokens that are not split
+        whole = known.filter(_few()).unionByName(stay)
+        lists = ends.select("node", "path").unionByName(whole.join(deep, "node", "left_semi").select("node", "path")).groupBy("node").agg(F.collect_list("path").alias("own"))
+        info = info.join(lists, "node", "left").select("node", "sketch", F.coalesce("own", "paths").alias("paths"))
+        members = whole.unionByName(ends.select(whole.columns))
+        large = members.filter(~_few())
+    small = members.filter(_few()).select("path", F.lit("").alias("task"), F.lit(_WHOLE).alias("side"), "node", "size")
     # A little wider than the threshold, so that rounding puts no pair two classes apart.
     kind = F.floor(F.log("size") / (1.0001 * math.log(1 / threshold))).cast("int")
-    large = known.filter(~few).select("path", "node", "size", "sketch", "paths", kind.alias("kind"))
+    large = large.select("path", "node", "size", kind.alias("kind"))
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(TOKENS))).cast("int")
     per_kind = large.groupBy("path", "kind").agg(blocks.alias("blocks"))
     per_path = per_kind.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))
@@ -190,7 +320,8 @@ def tasks_of(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = placed.withColumn("other", F.explode(met)).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     side = F.when(F.col("low") == F.col("high"), _WHOLE).when(F.col("mine") == F.col("low"), 0).otherwise(1)
     task = F.concat_ws("/", "low.kind", "low.block", "high.kind", "high.block")
-    return small.unionByName(met.withColumn("side", side).withColumn("task", task).select(names))
+    tasks = small.unionByName(met.withColumn("side", side).withColumn("task", task).select(small.columns))
+    return tasks.join(info, "node").select([f.name for f in _MEMBER])
 
 
 def _candidates(path: int, members: list[dict], threshold: float):
@@ -234,6 +365,21 @@ def with_candidates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _buckets(rows).mapInArrow(run, _MEMBER_DDL)
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text``: for each of ``nodes`` texts of its smallest id, among them one of its set."""
+    named = reps.select("node", F.col("doc_id").alias("rep_id")).join(nodes, "node", "left_semi")
+    return texts(docs).join(named, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
+
+
+def _sets_of(batches, words: Words):
+    """``node, tokens`` of the rows of ``_texts_of`` whose text has the node's set."""
+    for batch in batches:
+        for part in pieces(batch, most=WORD_BATCH):
+            for node, tokens in zip(part["node"].to_pylist(), shingle_sets(words, part), strict=True):
+                if digest(tokens) == node:
+                    yield node, tokens
+
+
 def shared_tokens(tokens, others: list):
     """How many of the sorted ``tokens`` each of the other sets holds."""
     import numpy as np
@@ -249,16 +395,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, wanted: DataFrame, threshol
     schema = pa.schema([("node", pa.binary()), ("tokens", pa.binary())])
 
     def load(batches):
-        words = Words()
-
-        def rows():
-            for batch in batches:
-                for part in pieces(batch, most=WORD_BATCH):
-                    for node, tokens in zip(part["node"].to_pylist(), shingle_sets(words, part), strict=True):
-                        if digest(tokens) == node:
-                            yield node, tokens.tobytes()
-
-        yield from emit(schema, rows(), lambda r: len(r[1]))
+        yield from emit(schema, ((node, tokens.tobytes()) for node, tokens in _sets_of(batches, Words())), lambda r: len(r[1]))
 
     def verify(batches):
         import numpy as np
@@ -294,8 +431,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, wanted: DataFrame, threshol
 
         yield from emit(_LINKS, rows(), lambda r: 64)
 
-    named = reps.select("node", F.col("doc_id").alias("rep_id")).join(wanted.select("node").distinct(), "node", "left_semi")
-    sets = texts(docs).join(named, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text").mapInArrow(load, "node binary, tokens binary").dropDuplicates(["node"])
+    sets = _texts_of(docs, reps, wanted.select("node").distinct()).mapInArrow(load, "node binary, tokens binary").dropDuplicates(["node"])
     return _buckets(wanted.join(sets, "node"), "tokens").mapInArrow(verify, _LINKS_DDL)
 
 
@@ -333,7 +469,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """``doc_id, row_hash, class_id, n_links, n_copies`` for every row of ``docs``; ``row_hash`` is xxhash64 of the text."""
     nodes = checkpointed(nodes_of(docs, threshold, recall))
     reps = checkpointed(nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-    wanted = checkpointed(with_candidates(tasks_of(reps, threshold), threshold))
+    wanted = checkpointed(with_candidates(tasks_of(docs, reps, threshold, recall), threshold))
     links = checkpointed(verified_links(docs, reps, wanted, threshold))
     found = class_of_nodes(links.filter("b is not null"), reps)
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))

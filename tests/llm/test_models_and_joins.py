@@ -169,12 +169,31 @@ def test_jaccard_large_buckets_lose_no_link(spark, monkeypatch):
 def test_jaccard_recall_over_all_steps(spark, monkeypatch):
     """Paths and sketch together keep the recall at the threshold, in buckets of any size."""
     sketch = sum(math.comb(jaccard_join.COORDS, k) * 0.8**k * 0.2 ** (jaccard_join.COORDS - k) for k in range(jaccard_join.AGREE))
-    assert math.exp(-jaccard_join.runs_for()) + sketch <= 1 - jaccard_join.RECALL
+    missed = [(1 - jaccard_join.survival(d)) ** jaccard_join.runs_for(depth=d) for d in (1, jaccard_join.DEPTH)]
+    assert abs(jaccard_join.survival(1) - (1 - math.exp(-1))) < 1e-12 and sum(missed) + sketch <= 1 - jaccard_join.RECALL
     rows = passages(random.Random(32))
     whole = linked(spark, rows)
     for name, value in {"BRUTE": 3, "BLOCK": 4, "TOKENS": 900}.items():
         monkeypatch.setattr(jaccard_join, name, value, raising=False)
     assert linked(spark, rows) == whole
+    monkeypatch.setattr(jaccard_join, "DEPTH", 2)
+    assert linked(spark, rows) == whole
+
+
+def test_chosen_paths_are_shared_by_similar_sets():
+    """Similar sets share paths at every depth as often as promised, unlike sets with a common passage ever more seldom."""
+    r = np.random.default_rng(6)
+    new = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    depth, runs = jaccard_join.DEPTH, 1
+    similar, passage = np.zeros(depth), np.zeros(depth)
+    for _ in range(1500):
+        roots, both = r.integers(0, 1 << 63, runs, dtype=np.uint64), new(80)
+        taken = [[set(p.tolist()) for _, p in jaccard_join.chosen_paths(np.sort(x), roots, 0.8)] for x in (np.concatenate([both, new(10)]), np.concatenate([both, new(10)]), np.concatenate([both[:24], new(66)]))]
+        similar += [bool(a & b) for a, b in zip(taken[0], taken[1], strict=True)]
+        passage += [bool(a & b) for a, b in zip(taken[0], taken[2], strict=True)]
+    for d in range(depth):
+        assert similar[d] / 1500 >= jaccard_join.survival(d + 1) - 0.04
+    assert passage[0] / 1500 > 0.2 > 0.05 > passage[depth - 1] / 1500
 
 
 @pytest.fixture(scope="module")
